@@ -102,13 +102,15 @@ def purchase_event(columns) -> Column:
     return _record(columns, "Purchase", "purchase_", custom)
 
 
+# Events named in a log line, the longer name first.
+LOGGED_EVENTS = ("LeadQualifiedHighQuality", "LeadQualified", "Faixa A")
+
+
 def log_email(line: Column) -> Column:
     """E-mail of a ``... enviado: a@b.c (decil: ...)`` log line."""
-    found = F.regexp_extract(line, r"enviado: ([^\s()]+@[^\s()]+)", 1)
+    found = F.regexp_extract(line, r"enviado:\s*(\S+@\S+)\s*\(", 1)
     return F.when(found != "", F.lower(found))
 
 
 def log_event(line: Column) -> Column:
-    return F.when(line.contains("LeadQualifiedHighQuality"), "LeadQualifiedHighQuality").when(
-        line.contains("LeadQualified"), "LeadQualified"
-    )
+    return F.coalesce(*[F.when(line.contains(f"{e} enviado:"), e) for e in LOGGED_EVENTS])
