@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matched characters; only ever run on candidate pairs, never on all pairs."""
     scores, matcher, current = [], SequenceMatcher(None), None

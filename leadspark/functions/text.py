@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip(c: Column) -> Column:
@@ -32,7 +33,7 @@ def comparison_form(c: Column) -> Column:
     return F.regexp_replace(collapse_spaces(F.lower(c)), r"\.+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in normaliser."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))

@@ -385,7 +385,7 @@ def legacy_adset_comparison(adsets: DataFrame, mapping: DataFrame, event_ids: Da
     ).groupBy("id15").agg(F.min("comparison_group").alias("comparison_group"))  # events before legacy
 
     def in_arms(df: DataFrame, id15: Column, name: Column) -> DataFrame:
-        rows = df.withColumn("_id15", id15).withColumn("adset_name", collapse_spaces(name))
+        rows = df.withColumn("_id15", id15).withColumn("adset_name", collapse_spaces(name)).drop("comparison_group")
         rows = rows.join(names, "adset_name", "left_semi")
         return rows.join(arms, F.col("_id15") == F.col("id15"))
 

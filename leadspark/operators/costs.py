@@ -128,57 +128,66 @@ def report_hierarchy(campaigns: DataFrame, adsets: DataFrame, ads: DataFrame, se
     return out
 
 
-def lookup_campaign(
-    df: DataFrame, costs: DataFrame, columns: tuple[str, ...], campaign: str = "campaign",
-    steps: tuple[str, ...] = ("id", "prefix", "name"), fold: bool = True,
-) -> DataFrame:
-    """Cost columns of a campaign: by full id, by 15-digit prefix, by name.
+STEPS = ("id", "prefix", "name", "exact_name")
+
 
-    ``costs`` has one row per ``campaign_id``. The name step compares the campaign without
-    its last ``|`` part when it carries an id; ``fold`` ignores case. Where a prefix or a
-    name repeats in ``costs`` the smallest id wins. Adds ``matched_by``.
+def _lookup_structs(df: DataFrame, costs: DataFrame, columns: tuple[str, ...], campaign: str, steps: tuple[str, ...]) -> DataFrame:
+    """Join a struct of cost columns, ``_by_<step>``, for every look-up step.
+
+    The name steps compare the campaign without its last ``|`` part when it carries an id.
+    Where a prefix or a name repeats in ``costs`` the smallest id wins.
     """
     name = F.col(campaign)
     found_id = u.campaign_id(name)
     clean = F.when(found_id.isNotNull(), strip(F.regexp_replace(name, r"\|[^|]*$", ""))).otherwise(strip(name))
-    folded = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    out = df.withColumn("_id", found_id)
-    out = out.withColumn("_prefix", F.substr("_id", F.lit(1), F.lit(15))).withColumn("_name", folded(clean))
-    info = F.struct(*columns)
+    text_id, cost_name = F.col("campaign_id").cast("string"), strip(F.col("campaign_name"))
+    out = df.withColumn("_id", found_id).withColumn("_exact_name", clean)
     keys = {
-        "id": ("_id", F.col("campaign_id").cast("string")),
-        "prefix": ("_prefix", F.substr(F.col("campaign_id").cast("string"), F.lit(1), F.lit(15))),
-        "name": ("_name", folded(strip(F.col("campaign_name")))),
+        "id": (F.col("_id"), text_id),
+        "prefix": (F.substr("_id", F.lit(1), F.lit(15)), F.substr(text_id, F.lit(1), F.lit(15))),
+        "name": (F.lower("_exact_name"), F.lower(cost_name)),
+        "exact_name": (F.col("_exact_name"), cost_name),
     }
     for step in steps:
-        key, expression = keys[step]
-        table = costs.select(expression.alias("_k"), F.col("campaign_id").alias("_order"), info.alias(f"_by_{step}"))
-        table = table.groupBy("_k").agg(F.min_by(f"_by_{step}", "_order").alias(f"_by_{step}"))
-        out = left_lookup(out, table, key, "_k")
-    hit = F.coalesce(*[F.col(f"_by_{s}") for s in steps])
-    how = F.coalesce(*[F.when(F.col(f"_by_{s}").isNotNull(), s) for s in steps])
-    out = out.withColumn("_hit", hit).withColumn("matched_by", how)
-    for c in columns:
-        out = out.withColumn(c, F.col(f"_hit.{c}"))
-    return out.drop("_id", "_prefix", "_name", "_hit", *[f"_by_{s}" for s in steps])
+        own, theirs = keys[step]
+        table = costs.groupBy(theirs.alias("_k")).agg(F.min_by(F.struct(*columns), "campaign_id").alias(f"_by_{step}"))
+        out = left_lookup(out.withColumn("_key_of_step", own), table, "_key_of_step", "_k").drop("_key_of_step")
+    return out.drop("_id", "_exact_name")
+
+
+def lookup_campaign(
+    df: DataFrame, costs: DataFrame, columns: tuple[str, ...], campaign: str = "campaign",
+    steps: tuple[str, ...] = ("id", "prefix", "name"),
+) -> DataFrame:
+    """Cost columns of a campaign: by full id, by 15-digit prefix, by name (case ignored).
+
+    ``costs`` has one row per ``campaign_id``. Adds ``matched_by``.
+    """
+    out = _lookup_structs(df, costs, columns, campaign, steps)
+    hit = [F.col(f"_by_{s}") for s in steps]
+    how = F.coalesce(*[F.when(h.isNotNull(), s) for h, s in zip(hit, steps)])
+    found = {c: F.coalesce(*hit)[c] for c in columns}
+    return out.withColumns({**found, "matched_by": how}).drop(*[f"_by_{s}" for s in steps])
+
+
+# Which steps may find which cost column.
+COLUMN_STEPS = {
+    **dict.fromkeys(("spend",), ("id", "prefix", "name")),
+    **dict.fromkeys(("leads", "lead_qualified", "lead_qualified_hq", "faixa_a"), ("id", "prefix")),
+    **dict.fromkeys(("budget", "num_creatives", "account_id"), ("id", "exact_name")),
+    **dict.fromkeys(("optimization_goal",), ("id", "prefix", "exact_name")),
+}
 
 
 def enrich_costs(df: DataFrame, costs: DataFrame) -> DataFrame:
-    """All campaign look-ups at once: spend, leads and events by id, prefix or name; budget,
-    creatives, account by id or exact name. Missing numbers are 0."""
-    wide = ("spend",)
-    out = lookup_campaign(df, costs, wide).drop("matched_by")
-    counts = tuple(c for c in ("leads", "lead_qualified", "lead_qualified_hq", "faixa_a") if c in costs.columns)
-    if counts:
-        out = lookup_campaign(out, costs, counts, steps=("id", "prefix")).drop("matched_by")
-    exact = tuple(c for c in ("budget", "num_creatives", "account_id") if c in costs.columns)
-    if exact:
-        out = lookup_campaign(out, costs, exact, steps=("id", "name"), fold=False).drop("matched_by")
-    if "optimization_goal" in costs.columns:
-        out = lookup_campaign(out, costs, ("optimization_goal",), fold=False).drop("matched_by")
-        out = out.fillna({"optimization_goal": ""})
-    numbers = {c: 0 for c in (*wide, *counts, "budget", "num_creatives") if c in out.columns}
-    return out.fillna(numbers)
+    """All campaign look-ups in one pass: spend, leads and events by id, prefix or name;
+    budget, creatives and account by id or exact name. Missing numbers are 0."""
+    columns = tuple(c for c in COLUMN_STEPS if c in costs.columns)
+    out = _lookup_structs(df, costs, columns, "campaign", STEPS)
+    found = {c: F.coalesce(*[F.col(f"_by_{s}") for s in COLUMN_STEPS[c]])[c] for c in columns}
+    out = out.withColumns(found).drop(*[f"_by_{s}" for s in STEPS])
+    text = {c: "" for c in ("optimization_goal",) if c in columns}
+    return out.fillna({**{c: 0 for c in columns if c not in ("account_id", "optimization_goal")}, **text})
 
 
 def goals_by_campaign(adsets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("linking",)
+FAMILIES = ("linking", "utm", "costs", "scoring", "metrics", "profiling", "model")
 
 
 def load_all():

@@ -6,37 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEADS = T.StructType.fromDDL(
-    "lead_id string, email string, name string, phone string, captured_at timestamp_ntz, campaign string, "
-    "source string, medium string, term string, content string, lead_score double, decile int"
-)
-SALES = T.StructType.fromDDL(
-    "email string, name string, phone string, sale_value double, sale_date timestamp_ntz, "
-    "utm_campaign string, product string, sale_origin string"
+_KINDS = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(),
+    "time": T.TimestampNTZType(), "date": T.DateType(), "boolean": T.BooleanType(),
+}
+
+
+def table(**kinds: str) -> T.StructType:
+    """Struct type from space-separated column names per kind."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for k, names in kinds.items() for n in names.split()])
+
+
+LEADS = table(
+    string="lead_id email name phone campaign source medium term content",
+    time="captured_at", double="lead_score", int="decile",
 )
-CAPTURES = T.StructType.fromDDL(
-    "id long, email string, name string, first_name string, last_name string, phone string, fbp string, "
-    "fbc string, event_id string, user_agent string, client_ip string, event_source_url string, "
-    "utm_source string, utm_medium string, utm_campaign string, utm_term string, utm_content string, "
-    "tem_comp string, capi_sent_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
+SALES = table(
+    string="email name phone utm_campaign product sale_origin", double="sale_value", time="sale_date",
 )
-REPORT_ROWS = T.StructType.fromDDL(
-    "campaign_id string, campaign_name string, adset_id string, adset_name string, ad_id string, ad_name string, "
-    "spend double, results double, budget double, budget_type string, optimization_goal_indicator string, "
-    "leads_standard double, lead_qualified double, lead_qualified_hq double, faixa_a double, "
-    "report_start date, report_end date, _account_name string, _source_file string, _is_edge_case boolean"
+CAPTURES = table(
+    long="id",
+    string="email name first_name last_name phone fbp fbc event_id user_agent client_ip event_source_url "
+           "utm_source utm_medium utm_campaign utm_term utm_content tem_comp",
+    time="capi_sent_at created_at updated_at",
 )
-COST_ROWS = T.StructType.fromDDL(
-    "campaign_id string, campaign_name string, adset_id string, adset_name string, ad_id string, ad_name string, "
-    "spend double, has_campaign_budget boolean, daily_budget double, lifetime_budget double, "
-    "optimization_goal string, day date"
+REPORT_ROWS = table(
+    string="campaign_id campaign_name adset_id adset_name ad_id ad_name budget_type "
+           "optimization_goal_indicator _account_name _source_file",
+    double="spend results budget leads_standard lead_qualified lead_qualified_hq faixa_a",
+    date="report_start report_end", boolean="_is_edge_case",
 )
-INSIGHTS = T.StructType.fromDDL(
-    "campaign_id string, campaign_name string, adset_id string, adset_name string, ad_id string, ad_name string, "
-    "spend string, date_start date, date_stop date, actions array<struct<action_type string, value string>>, "
-    "daily_budget string, lifetime_budget string, optimization_goal string, "
-    "promoted_object struct<custom_event_str string>"
+COST_ROWS = table(
+    string="campaign_id campaign_name adset_id adset_name ad_id ad_name optimization_goal",
+    double="spend daily_budget lifetime_budget", boolean="has_campaign_budget", date="day",
 )
+INSIGHTS = T.StructType([
+    *table(
+        string="campaign_id campaign_name adset_id adset_name ad_id ad_name spend daily_budget "
+               "lifetime_budget optimization_goal",
+        date="date_start date_stop",
+    ).fields,
+    T.StructField("actions", T.ArrayType(table(string="action_type value"))),
+    T.StructField("promoted_object", table(string="custom_event_str")),
+])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -47,32 +47,23 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _sent_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table of sent e-mails, or ``None`` before the first batch."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.parquet(path) if there else None
-
-
 def send_once(leads: DataFrame, sent_path: str, out_path: str, checkpoint: str, order: str = "created_at", tie: str = "event_id") -> StreamingQuery:
     """Pass each e-mail on once, ever: its first lead of the first batch it occurs in.
 
     Batches are written under their own id, so a batch repeated after a failure replaces
-    its files and compares only with the other batches.
+    its files and compares only with earlier batches.
     """
+    columns = leads.select("email").schema
+    nobody = leads.sparkSession.createDataFrame([], columns)
+    nobody.write.mode("overwrite").parquet(f"{sent_path}/batch_id=-1")  # so the table exists
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = first_per_key(batch.filter("email IS NOT NULL"), ["email"], [F.col(order), F.col(tie)])
-        sent = _sent_table(spark, sent_path)
-        if sent is not None:
-            earlier = sent.filter(F.col("batch_id") < batch_id).select("email")
-            fresh = fresh.join(earlier, "email", "left_anti")
-        fresh = fresh.persist()
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        fresh.select("email").write.mode("overwrite").parquet(f"{sent_path}/batch_id={batch_id}")
-        fresh.unpersist()
+        sent = batch.sparkSession.read.parquet(sent_path).filter(F.col("batch_id") < batch_id)
+        # what is passed on is read back from the output, so both tables always agree
+        fresh.join(sent.select("email"), "email", "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        passed = batch.sparkSession.read.schema(leads.schema).parquet(f"{out_path}/batch_id={batch_id}")
+        passed.select("email").write.mode("overwrite").parquet(f"{sent_path}/batch_id={batch_id}")
 
     writer = leads.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
