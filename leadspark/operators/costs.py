@@ -131,28 +131,35 @@ def report_hierarchy(campaigns: DataFrame, adsets: DataFrame, ads: DataFrame, se
 STEPS = ("id", "prefix", "name", "exact_name")
 
 
+def _step_keys(step_keys: dict[str, Column]) -> Column:
+    """Array of ``(step, key)`` for the steps whose key is known."""
+    entries = [F.when(k.isNotNull(), F.struct(F.lit(s).alias("step"), k.alias("key"))) for s, k in step_keys.items()]
+    return F.array_compact(F.array(*entries))
+
+
 def _lookup_structs(df: DataFrame, costs: DataFrame, columns: tuple[str, ...], campaign: str, steps: tuple[str, ...]) -> DataFrame:
-    """Join a struct of cost columns, ``_by_<step>``, for every look-up step.
+    """Add a struct of cost columns, ``_by_<step>``, for every look-up step.
 
     The name steps compare the campaign without its last ``|`` part when it carries an id.
-    Where a prefix or a name repeats in ``costs`` the smallest id wins.
+    Where a prefix or a name repeats in ``costs`` the smallest id wins. All steps share one
+    join of the distinct campaigns, unfolded to their keys, with the unfolded costs.
     """
-    name = F.col(campaign)
+    name = F.col("_campaign")
     found_id = u.campaign_id(name)
     clean = F.when(found_id.isNotNull(), strip(F.regexp_replace(name, r"\|[^|]*$", ""))).otherwise(strip(name))
     text_id, cost_name = F.col("campaign_id").cast("string"), strip(F.col("campaign_name"))
-    out = df.withColumn("_id", found_id).withColumn("_exact_name", clean)
-    keys = {
-        "id": (F.col("_id"), text_id),
-        "prefix": (F.substr("_id", F.lit(1), F.lit(15)), F.substr(text_id, F.lit(1), F.lit(15))),
-        "name": (F.lower("_exact_name"), F.lower(cost_name)),
-        "exact_name": (F.col("_exact_name"), cost_name),
-    }
-    for step in steps:
-        own, theirs = keys[step]
-        table = costs.groupBy(theirs.alias("_k")).agg(F.min_by(F.struct(*columns), "campaign_id").alias(f"_by_{step}"))
-        out = left_lookup(out.withColumn("_key_of_step", own), table, "_key_of_step", "_k").drop("_key_of_step")
-    return out.drop("_id", "_exact_name")
+    first15 = lambda c: F.substr(c, F.lit(1), F.lit(15))
+    asked = {"id": found_id, "prefix": first15(found_id), "name": F.lower(clean), "exact_name": clean}
+    offered = {"id": text_id, "prefix": first15(text_id), "name": F.lower(cost_name), "exact_name": cost_name}
+    pick = lambda keys: _step_keys({s: keys[s] for s in steps})
+    names = df.select(F.col(campaign).alias("_campaign")).filter("_campaign IS NOT NULL").distinct()
+    wanted = names.select("_campaign", F.explode(pick(asked)).alias("k")).select("_campaign", "k.step", "k.key")
+    rows = costs.select("campaign_id", F.struct(*columns).alias("_info"), F.explode(pick(offered)).alias("k"))
+    table = rows.groupBy("k.step", "k.key").agg(F.min_by("_info", "campaign_id").alias("_info"))
+    hits = wanted.join(table, ["step", "key"]).groupBy("_campaign").agg(
+        *[F.max(F.when(F.col("step") == s, F.col("_info"))).alias(f"_by_{s}") for s in steps]
+    )
+    return left_lookup(df, hits, campaign, "_campaign")
 
 
 def lookup_campaign(
@@ -289,6 +296,10 @@ def spend_of_ad_values(
     out = out.withColumn("_id", key(u.utm_id(F.col("value").cast("string")))).withColumn("_named", key(F.col("_name")))
     out = left_lookup(left_lookup(out, ids, "_id", "_k"), by_name, "_named", "_k")
     out = out.withColumn("_solved", F.coalesce("_by_id", "_by_name"))
+    if threshold >= 1:  # equal names are found already
+        how = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_name").isNotNull(), "name")
+        out = out.withColumn("spend", F.coalesce("_solved", F.lit(0.0))).withColumn("matched_by", how)
+        return out.drop("_name", "_id", "_named", "_by_id", "_by_name", "_solved")
     rest = out.filter("_solved IS NULL")
     within = None if not extra else "_within"
     scope = (lambda d: d) if not extra else (lambda d: d.withColumn("_within", F.concat_ws("\u0001", *extra)))

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
-from .joins import sized_broadcast
 
 
 def _limits(t: float) -> tuple[int, int]:
@@ -75,7 +74,6 @@ def similar_pairs(
     b = right.select(group.alias("grp"), F.col(right_col).alias("b")).filter("b IS NOT NULL").distinct()
     ta, tb = _tokens(a, "a", threshold), _tokens(b, "b", threshold)
     frequency = ta.select("token").unionByName(tb.select("token")).groupBy("token").agg(F.count("*").alias("n"))
-    frequency = sized_broadcast(frequency)
     la, lb = F.length("a"), F.length("b")
     close = (F.least(la, lb) * 2.0 / (la + lb)) >= F.lit(threshold - 1e-12)
     pairs = (

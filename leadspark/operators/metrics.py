@@ -74,11 +74,11 @@ def campaign_metrics(matched: DataFrame, costs: DataFrame, settings: Settings =
     )
     return out.withColumn(
         "margin_percent", _r2(safe_ratio(F.col("contribution_margin"), spend, 100))
-    ).orderBy(F.desc("contribution_margin"), "campaign")
+    ).orderBy(F.desc("contribution_margin"), "campaign", "ml_type")
 
 
 def top_campaigns(metrics: DataFrame, n: int = 15) -> DataFrame:
-    return metrics.orderBy(F.desc("contribution_margin"), "campaign").limit(n)
+    return metrics.orderBy(F.desc("contribution_margin"), "campaign", "ml_type").limit(n)
 
 
 def decile_performance(matched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

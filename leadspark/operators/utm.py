@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -90,27 +90,25 @@ def consolidate_campaigns(df: DataFrame, column: str = "campaign", to: str = "ca
     """One name per campaign: by full id, else by 15-digit prefix, else by base name.
 
     Names without an id take the name of the id-bearing campaign with the same base name.
+    Works on the distinct names; each window holds the spellings of one campaign, and
+    names without the key in question are spread over groups of their own.
     """
+    name, cid = F.col("name"), F.col("id")
     names = df.select(F.col(column).alias("name")).filter("name IS NOT NULL").distinct()
-    names = names.withColumn("id", u.campaign_id(F.col("name"))).withColumn("base", u.campaign_base(F.col("name")))
-    best = longest_names(df, column)
-    # a name with an id always finds itself by the full id; the prefix unites ids cut short
-    prefix = best.withColumn("prefix", F.substr("id", F.lit(1), F.lit(15)))
-    by_prefix = prefix.groupBy("prefix").agg(
-        F.min_by("best_name", F.struct(-F.length("id"), F.col("id"))).alias("by_prefix")
-    )
-    with_id = names.filter("id IS NOT NULL").join(best, "id")
-    by_base = with_id.filter("base <> ''").groupBy("base").agg(
-        F.min_by("best_name", F.struct(-F.length("best_name"), F.col("best_name"))).alias("by_base")
-    )
-    keyed = names.withColumn("prefix", F.substr("id", F.lit(1), F.lit(15)))
-    best = best.withColumnRenamed("best_name", "by_id")
-    table = left_lookup(left_lookup(left_lookup(keyed, best, "id"), by_prefix, "prefix"), by_base, "base")
+    names = names.withColumn("id", u.campaign_id(name)).withColumn("prefix", F.substr("id", F.lit(1), F.lit(15)))
+    names = names.withColumn("base", F.when(u.campaign_base(name) != "", u.campaign_base(name)))
+
+    def group(key: str):
+        return Window.partitionBy(F.coalesce(F.col(key), F.concat(F.lit("\u0000"), name)))
+
+    longest = lambda c: F.struct(-F.length(c), F.col(c))
+    known = cid.isNotNull()
+    names = names.withColumn("by_id", F.when(known, F.min_by("name", longest("name")).over(group("id"))))
+    names = names.withColumn("by_prefix", F.when(known, F.min_by("by_id", longest("id")).over(group("prefix"))))
+    names = names.withColumn("by_base", F.min_by("by_id", F.when(known, longest("by_id"))).over(group("base")))
     # ids shorter than the full 18 digits are cut ones, so the prefix decides for them
     whole = F.when(F.length("id") >= 18, F.col("by_id"))
-    table = table.select(
-        F.col("name").alias("__name"), F.coalesce(whole, "by_prefix", "by_id", "by_base", "name").alias(to)
-    )
+    table = names.select(name.alias("__name"), F.coalesce(whole, "by_prefix", "by_base", "name").alias(to))
     return left_lookup(df, sized_broadcast(table), column, "__name")
 
 

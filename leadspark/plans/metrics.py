@@ -20,17 +20,22 @@ _CAMPAIGNS = _COSTS + f""", best AS (SELECT right(campaign, 18) AS id, arg_min(c
 stats AS (SELECT m.ml_type, b.name AS campaign, b.id, count(m.email) AS responses, sum(sale_value) AS total_revenue,
     count(DISTINCT m.email) FILTER (converted) AS conversions, coalesce(sum({_ADJ}) FILTER (converted), 0.0) AS total_revenue_adjusted
   FROM matched m JOIN best b ON right(m.campaign, 18) = b.id GROUP BY 1, 2, 3),
+cut_ids AS (SELECT substr(campaign_id, 1, 15) AS k, arg_min(spend, campaign_id) AS spend, arg_min(leads, campaign_id) AS leads,
+    arg_min(lead_qualified, campaign_id) AS lead_qualified, arg_min(optimization_goal, campaign_id) AS optimization_goal FROM costs GROUP BY 1),
+found AS (SELECT s.*, coalesce(c.spend, p.spend) AS spend, coalesce(c.leads, p.leads) AS leads, coalesce(c.lead_qualified, p.lead_qualified) AS lead_qualified,
+    coalesce(c.optimization_goal, p.optimization_goal) AS optimization_goal, c.budget, c.num_creatives, c.account_id
+  FROM stats s LEFT JOIN costs c ON s.id = c.campaign_id LEFT JOIN cut_ids p ON substr(s.id, 1, 15) = p.k),
 campaign_metrics AS (
   SELECT s.ml_type, s.campaign, s.responses, s.conversions, round(s.total_revenue, 2) AS total_revenue, round(s.total_revenue_adjusted, 2) AS total_revenue_adjusted,
-    coalesce(c.spend, 0) AS spend, coalesce(c.leads, 0) AS leads, coalesce(c.lead_qualified, 0) AS lead_qualified, coalesce(c.budget, 0) AS budget,
-    coalesce(c.num_creatives, 0) AS num_creatives, c.account_id, coalesce(c.optimization_goal, '') AS optimization_goal,
-    round(CASE WHEN c.leads > 0 THEN s.responses / c.leads * 100 ELSE 0 END, 2) AS response_rate,
-    round(CASE WHEN c.leads > 0 THEN s.conversions / c.leads * 100 ELSE 0 END, 2) AS conversion_rate,
-    round(CASE WHEN c.leads > 0 THEN c.spend / c.leads ELSE 0 END, 2) AS cpl, round(CASE WHEN c.spend > 0 THEN s.total_revenue / c.spend ELSE 0 END, 2) AS roas,
-    round(s.total_revenue - coalesce(c.spend, 0), 2) AS contribution_margin,
-    round(CASE WHEN c.spend > 0 THEN s.total_revenue_adjusted / c.spend ELSE 0 END, 2) AS roas_adjusted,
-    round(CASE WHEN c.spend > 0 THEN round(s.total_revenue - c.spend, 2) / c.spend * 100 ELSE 0 END, 2) AS margin_percent
-  FROM stats s LEFT JOIN costs c ON s.id = c.campaign_id WHERE coalesce(c.spend, 0) > 0 OR coalesce(c.leads, 0) > 0 OR s.conversions > 0)"""
+    coalesce(s.spend, 0) AS spend, coalesce(s.leads, 0) AS leads, coalesce(s.lead_qualified, 0) AS lead_qualified, coalesce(s.budget, 0) AS budget,
+    coalesce(s.num_creatives, 0) AS num_creatives, s.account_id, coalesce(s.optimization_goal, '') AS optimization_goal,
+    round(CASE WHEN s.leads > 0 THEN s.responses / s.leads * 100 ELSE 0 END, 2) AS response_rate,
+    round(CASE WHEN s.leads > 0 THEN s.conversions / s.leads * 100 ELSE 0 END, 2) AS conversion_rate,
+    round(CASE WHEN s.leads > 0 THEN s.spend / s.leads ELSE 0 END, 2) AS cpl, round(CASE WHEN s.spend > 0 THEN s.total_revenue / s.spend ELSE 0 END, 2) AS roas,
+    round(s.total_revenue - coalesce(s.spend, 0), 2) AS contribution_margin,
+    round(CASE WHEN s.spend > 0 THEN s.total_revenue_adjusted / s.spend ELSE 0 END, 2) AS roas_adjusted,
+    round(CASE WHEN s.spend > 0 THEN round(s.total_revenue - s.spend, 2) / s.spend * 100 ELSE 0 END, 2) AS margin_percent
+  FROM found s WHERE coalesce(s.spend, 0) > 0 OR coalesce(s.leads, 0) > 0 OR s.conversions > 0)"""
 
 
 def _metrics(t):
@@ -42,7 +47,7 @@ def campaign_metrics(t):
     return _metrics(t).withColumns({c: F.round(c, 2) for c in ("total_revenue", "total_revenue_adjusted")})
 
 
-@query("top_campaigns", sql("SELECT campaign, ml_type, contribution_margin FROM campaign_metrics ORDER BY contribution_margin DESC, campaign LIMIT 15", _CAMPAIGNS))
+@query("top_campaigns", sql("SELECT campaign, ml_type, contribution_margin FROM campaign_metrics ORDER BY contribution_margin DESC, campaign, ml_type LIMIT 15", _CAMPAIGNS))
 def top_campaigns(t):
     return ops.top_campaigns(_metrics(t)).select("campaign", "ml_type", "contribution_margin")
 
@@ -256,9 +261,11 @@ def comparison_groups(t):
     "legacy_arm",
     sql("""SELECT e.comparison_group, e.leads, e.spend, coalesce(s.conversions, 0) AS conversions, round(coalesce(s.revenue, 0), 2) AS revenue FROM
  (SELECT CASE ml_type WHEN 'COM_ML' THEN 'Eventos ML' ELSE 'Faixa A' END AS comparison_group, sum(leads_standard) AS leads, sum(spend) AS spend
-  FROM adset_rows WHERE adset_id % 5 < 3 GROUP BY 1) e
+  FROM adset_rows WHERE adset_name IN (SELECT adset_name FROM shared) GROUP BY 1) e
  LEFT JOIN (SELECT CASE WHEN CAST(right(campaign, 2) AS INT) % 2 = 0 THEN 'Eventos ML' ELSE 'Faixa A' END AS comparison_group, count(DISTINCT email) AS conversions, sum(sale_value) AS revenue
-  FROM leads_arms WHERE converted AND regexp_replace(medium, '\\s+', ' ', 'g') IN ('Set 0', 'Set 1', 'Set 2') GROUP BY 1) s ON e.comparison_group = s.comparison_group"""),
+  FROM leads_arms WHERE converted AND regexp_replace(medium, '\\s+', ' ', 'g') IN (SELECT adset_name FROM shared)
+    AND campaign_id IN (SELECT campaign_id FROM adset_rows) GROUP BY 1) s ON e.comparison_group = s.comparison_group""",
+        "shared AS (SELECT DISTINCT adset_name FROM adset_rows WHERE ml_type = 'SEM_ML' AND adset_id % 5 < 3)"),
 )
 def legacy_arm(t):
     long_ids = lambda df: df.withColumn("campaign_id", _long_id(F.col("campaign_id")))
