@@ -113,7 +113,7 @@ def running_totals(df: DataFrame, column: str, measures: dict[str, str]) -> Data
         df.filter(F.col(column).isNotNull())
         .withColumn(column, F.col(column).cast("double"))
         .groupBy(column)
-        .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()])
+        .agg(*[F.sum(F.expr(expr)).alias(name) for name, expr in measures.items()])
     )
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", probs, 0.001)
