@@ -11,7 +11,7 @@ from ..functions.text import collapse_spaces, nfc, thousands
 from ..operators.costs import effective_goal, with_budget_flag
 from ..operators.joins import left_lookup
 from ..schemas import INSIGHTS
-from .tables import FORMATS
+from .tables import list_files, read_table
 
 # Report headings and their names here. The first present one counts.
 HEADINGS = {
@@ -57,11 +57,15 @@ def account_of_file(file_name: Column) -> Column:
 
 
 def scan_reports(spark: SparkSession, path: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """The three kinds of report under a folder, tagged with file and account, normalised."""
-    reader = spark.read.format(fmt).options(**FORMATS[fmt]).option("recursiveFileLookup", "true")
-    df = reader.load(path).select("*", F.col("_metadata.file_name").alias("_source_file"))
-    df = df.withColumn("_account_name", account_of_file(F.col("_source_file"))).withColumn("_kind", report_kind(F.col("_source_file")))
-    return {kind: normalise_report(df.filter(F.col("_kind") == kind).drop("_kind"), kind) for kind in REPORT_KINDS}
+    """The kinds of report found under a folder, tagged with file and account, normalised."""
+    files = list_files(spark, path, fmt).select("path", report_kind(F.col("file_name")).alias("kind")).collect()
+    out = {}
+    for kind in REPORT_KINDS:
+        paths = sorted(f["path"] for f in files if f["kind"] == kind)
+        if paths:
+            raw = read_table(spark, paths, fmt).withColumnRenamed("arquivo_origem", "_source_file").drop("aba_origem")
+            out[kind] = normalise_report(raw.withColumn("_account_name", account_of_file(F.col("_source_file"))), kind)
+    return out
 
 
 def normalise_report(raw: DataFrame, kind: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,24 +17,45 @@ def format_of(path: str) -> str:
     return ending if ending in FORMATS else "csv"
 
 
+def decoded(c: Column) -> Column:
+    """File metadata text with its percent escapes undone."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
+
+
+def list_files(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """``path, file_name`` of the files under a folder; their contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}")
+    return reader.load(path).select("path", F.substring_index("path", "/", -1).alias("file_name"))
+
+
+def _csv_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files with equal headings together; a CSV read takes the headings of one file only."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        groups.setdefault(tuple(spark.read.options(**FORMATS["csv"]).csv(path).columns), []).append(path)
+    return list(groups.values())
+
+
 def read_table(spark: SparkSession, paths: str | list[str], fmt: str | None = None, schema: T.StructType | str | None = None, provenance: bool = True) -> DataFrame:
     """Read files of one format; text stays text unless ``schema`` says otherwise.
 
-    Adds ``arquivo_origem`` (file) and ``aba_origem`` (its folder). An empty list or a
-    missing file is an error.
+    A list of CSV files may have differing headings; columns a file lacks are null in its
+    rows. Adds ``arquivo_origem`` (file) and ``aba_origem`` (its folder). An empty list or
+    a missing file is an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no files given")
     fmt = fmt or format_of(paths[0])
     reader = spark.read.format(fmt).options(**FORMATS[fmt])
-    df = (reader.schema(schema) if schema is not None else reader).load(paths)
-    if not provenance:
-        return df
-    path = F.col("_metadata.file_path")
-    return df.select(
-        "*", F.col("_metadata.file_name").alias("arquivo_origem"), F.element_at(F.split(path, "/"), -2).alias("aba_origem")
-    )
+    reader = reader.schema(schema) if schema is not None else reader
+    mixed = fmt == "csv" and schema is None and len(paths) > 1
+    frames = [reader.load(group) for group in (_csv_groups(spark, paths) if mixed else [paths])]
+    if provenance:
+        folder = F.element_at(F.split(decoded(F.col("_metadata.file_path")), "/"), -2)
+        name = decoded(F.col("_metadata.file_name"))
+        frames = [f.select("*", name.alias("arquivo_origem"), folder.alias("aba_origem")) for f in frames]
+    return union_all(frames)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
