@@ -53,7 +53,7 @@ def _record(columns, name: str, prefix: str, custom: Column) -> Column:
         F.concat(F.lit(prefix), F.col("event_id").cast("string")).alias("event_id"),
         F.lit("website").alias("action_source"),
         _col(columns, "event_source_url").alias("event_source_url"),
-        user_struct(columns).alias("user_data"),
+        (F.col("user_data") if "user_data" in columns else user_struct(columns)).alias("user_data"),
         custom.alias("custom_data"),
     )
 

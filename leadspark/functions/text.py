@@ -1,4 +1,4 @@
-"""Text cleaning. Java's ``\\s`` and ``trim`` know ASCII only, hence ``(?U)``."""
+"""Text cleaning. Java's ``\\s`` knows ASCII only, hence ``(?U)``, and plain ``trim`` only blanks."""
 
 from __future__ import annotations
 
@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# All Unicode white space.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; cheaper than a regular expression."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +30,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
-def _pinned(edges: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; a lost executor re-reads it."""
-    checkpoint_dir(edges.sparkSession)
-    return edges.checkpoint(eager=True)
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node hangs on exactly one node and no node both hangs and holds."""
+    roles = stars.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        stars.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    per = roles.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not per.filter("hangs > 1 OR (hangs > 0 AND holds > 0)").take(1)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for an edge list ``(u, v)`` of one orderable type.
 
-    Alternating large and small stars until nothing changes (a logarithmic number of
+    Alternating large and small stars until only stars are left (a logarithmic number of
     rounds). Each star is a minimum per node, folded map-side, and a join whose one side
     has a row per node, so a node with very many neighbours is only a skewed join key.
+    Every round is written to the shared checkpoint folder and read back: the lineage is
+    cut, nothing is computed twice, and a lost executor re-reads files.
     """
-    current = _pinned(_undirected(edges).filter("u > v").distinct())
-    digest = None
-    for _ in range(max_rounds):
-        current = _pinned(_small_star(_large_star(current)))
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == digest:
+    spark = edges.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
+
+    def pinned(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    current = pinned(_undirected(edges).filter("u > v").distinct(), "edges")
+    for turn in range(max_rounds):
+        current = pinned(_small_star(_large_star(current)), f"round-{turn}")
+        if _settled(current):
             break
-        digest = tuple(state)
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

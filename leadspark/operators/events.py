@@ -42,8 +42,10 @@ def enrich_with_captures(leads: DataFrame, captures: DataFrame, now: int, time:
 def conversion_events(leads: DataFrame, survey: tuple[str, ...] = (), settings: Settings = DEFAULTS) -> DataFrame:
     """One qualified event per lead and one high-quality event for deciles 9 and 10.
 
-    A lead is read once: its one or two records are unfolded in place.
+    A lead is read once: its hashed identity is made once and its one or two records are
+    unfolded in place.
     """
+    leads = leads.withColumn("user_data", ev.user_struct(leads.columns))
     cols = leads.columns
     both = F.array_compact(F.array(
         ev.qualified_event(cols, survey, settings),

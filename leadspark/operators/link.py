@@ -7,7 +7,7 @@ is always two equi joins, never an OR condition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -26,15 +26,42 @@ def target_by_email(leads: DataFrame, sales: DataFrame) -> DataFrame:
     return _as_target(flag_members(leads, sales, "email", "_e"), "_e").drop("_e")
 
 
+KEYS = {"email": "e:", "phone": "p:"}
+
+
+def _tagged(key: str) -> Column:
+    return F.concat(F.lit(KEYS[key]), F.col(key))
+
+
+def _by_key(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Rows unfolded to one per known contact key ``k``, so that both keys share one scan
+    and one shuffle; look-ups by e-mail and by phone then reuse the same table."""
+    keys = F.explode(F.array_compact(F.array(*[_tagged(k) for k in KEYS])))
+    return df.select(keys.alias("k"), *columns)
+
+
+def _look_up(df: DataFrame, table: DataFrame, value: str, to: dict[str, str]) -> DataFrame:
+    """``table(k, value)`` looked up by each contact key of ``to``, under its new name."""
+    out = df
+    for key, name in to.items():
+        named = table.select("k", F.col(value).alias(name))
+        out = left_lookup(out.withColumn("_k", _tagged(key)), named, "_k", "k").drop("_k")
+    return out
+
+
+def _flag_buyers(df: DataFrame, sales: DataFrame) -> DataFrame:
+    """Flags ``_e`` and ``_p``: whether the e-mail, the phone is that of a buyer."""
+    buyers = _by_key(sales).distinct().withColumn("_hit", F.lit(True))
+    return _look_up(df, buyers, "_hit", {"email": "_e", "phone": "_p"}).fillna(False, ["_e", "_p"])
+
+
 def target_by_email_or_phone(
     leads: DataFrame, sales: DataFrame, min_digits: int | None = DEFAULTS.min_phone_digits
 ) -> DataFrame:
     """E-mail, else phone; phones shorter than ``min_digits`` do not count (``None``: all do)."""
-    long_enough = lambda c: c if min_digits is None else F.when(F.length(c) >= min_digits, c)
-    keyed = leads.withColumn("_phone", long_enough(F.col("phone")))
-    phones = sales.select(long_enough(F.col("phone")).alias("_phone"))
-    flagged = flag_members(flag_members(keyed, sales, "email", "_e"), phones, "_phone", "_p")
-    return _as_target(flagged, "_e", "_p").drop("_e", "_p", "_phone")
+    if min_digits is not None:
+        sales = sales.withColumn("phone", F.when(F.length("phone") >= min_digits, F.col("phone")))
+    return _as_target(_flag_buyers(leads, sales), "_e", "_p").drop("_e", "_p")
 
 
 def target_by_variants(
@@ -70,7 +97,7 @@ def target_validated(
 def retarget(targeted: DataFrame, sales: DataFrame, products: DataFrame) -> DataFrame:
     """Keep ``target = 1`` only for buyers of a listed product; ``by`` tells how they matched."""
     listed = sales.join(products.select("product").distinct(), "product", "left_semi")
-    df = flag_members(flag_members(targeted, listed, "email", "_e"), listed, "phone", "_p")
+    df = _flag_buyers(targeted, listed)
     was = F.col("target") == 1
     by = (
         F.when(was & F.col("_e") & F.col("_p"), "both")
@@ -88,12 +115,9 @@ def discarded_products(targeted: DataFrame, sales: DataFrame, products: DataFram
     """Products bought by the leads that :func:`retarget` discards, one count per person."""
     kept = retarget(targeted, sales, products)
     lost = targeted.filter("target = 1").join(kept.filter("target = 1"), id_col, "left_anti")
-    pairs = None
-    for key in ("email", "phone"):
-        bought = sales.filter(F.col(key).isNotNull()).select(key, "product").distinct()
-        part = lost.select(id_col, key).join(bought, key).select(id_col, "product")
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs.filter("product IS NOT NULL").distinct().groupBy("product").agg(F.count("*").alias("leads"))
+    bought = _by_key(sales.filter("product IS NOT NULL"), "product").distinct()
+    pairs = _by_key(lost, id_col).join(bought, "k").select(id_col, "product").distinct()
+    return pairs.groupBy("product").agg(F.count("*").alias("leads"))
 
 
 def within_conversion_window(
@@ -108,31 +132,28 @@ def within_conversion_window(
 _SALE = ["sale_date", "sale_value", "sale_origin"]
 
 
-def _first_sales(sales: DataFrame, key: str, to: str) -> DataFrame:
-    """One row per key: its first sale by date, value, origin."""
-    order = [*nulls_last(F.col("sale_date")), F.col("sale_value"), F.col("sale_origin")]
-    keyed = sales.filter(F.col(key).isNotNull()).select(key, *_SALE)
-    return first_per_key(keyed, [key], order).select(key, F.struct(*_SALE).alias(to))
+def _first_sales(sales: DataFrame) -> DataFrame:
+    """``(k, sale)``: the first sale of every contact key by date, value, origin."""
+    sale = F.struct(*_SALE)
+    order = F.struct(*nulls_last(F.col("sale_date")), F.col("sale_value"), F.col("sale_origin"))
+    return _by_key(sales, *_SALE).groupBy("k").agg(F.min_by(sale, order).alias("sale"))
 
 
-def _first_sales_after(leads: DataFrame, sales: DataFrame, key: str, to: str) -> DataFrame:
-    """Per distinct ``(key, captured_at)``: the first sale at or after the capture.
+def _first_sales_after(leads: DataFrame, sales: DataFrame) -> DataFrame:
+    """``(k, captured_at, sale)``: the first sale at or after each capture of a contact key.
 
     Sales and captures are compared within one day of one key, and days against later
     days of the key, so no group is larger than a key's day or its number of days.
     """
     day = F.col("ts").cast("date")
     sold = (
-        sales.filter(F.col(key).isNotNull() & F.col("sale_date").isNotNull())
-        .select(F.col(key).alias("k"), F.col("sale_date").cast("timestamp_ntz").alias("ts"),
-                F.struct(*_SALE).alias("sale"))
-        .groupBy("k", "ts").agg(F.min("sale").alias("sale"))
-        .withColumn("day", day)
+        _by_key(sales.filter("sale_date IS NOT NULL"), *_SALE)
+        .select("k", F.col("sale_date").cast("timestamp_ntz").alias("ts"), F.struct(*_SALE).alias("sale"))
+        .groupBy("k", "ts").agg(F.min("sale").alias("sale")).withColumn("day", day)
     )
     seen = (
-        leads.filter(F.col(key).isNotNull() & F.col("captured_at").isNotNull())
-        .select(F.col(key).alias("k"), F.col("captured_at").alias("ts")).distinct()
-        .withColumn("day", day)
+        _by_key(leads.filter("captured_at IS NOT NULL"), "captured_at")
+        .select("k", F.col("captured_at").alias("ts")).distinct().withColumn("day", day)
     )
     both = sold.withColumn("is_sale", F.lit(1)).unionByName(
         seen.withColumn("is_sale", F.lit(0)), allowMissingColumns=True
@@ -150,11 +171,8 @@ def _first_sales_after(leads: DataFrame, sales: DataFrame, key: str, to: str) ->
         .withColumn("later", F.last("sale", ignorenulls=True).over(later_days))
         .select("k", "day", "later")
     )
-    return (
-        todays.filter("is_sale = 0").join(days, ["k", "day"])
-        .select(F.col("k").alias(key), F.col("ts").alias("captured_at"),
-                F.coalesce("today", "later").alias(to))
-    )
+    found = todays.filter("is_sale = 0").join(days, ["k", "day"])
+    return found.select("k", F.col("ts").alias("captured_at"), F.coalesce("today", "later").alias("sale"))
 
 
 def attribute_sales(leads: DataFrame, sales: DataFrame, temporal: bool = False) -> DataFrame:
@@ -163,17 +181,17 @@ def attribute_sales(leads: DataFrame, sales: DataFrame, temporal: bool = False)
     With ``temporal`` the sale must not precede the capture. Leads without a capture time
     never match. Adds ``converted, sale_value, sale_date, sale_origin, match_method``.
     """
-    df = leads
-    for key, found in (("email", "_by_email"), ("phone", "_by_phone")):
-        if temporal:
-            table = _first_sales_after(leads, sales, key, found)
-            # the pair becomes one text key so that null keys can be spread
-            pair = lambda k: F.concat_ws("\u0001", F.when(F.col(k).isNotNull(), F.col(k)), F.col("captured_at").cast("string"))
-            table = table.select(pair(key).alias("_pair"), found)
-            usable = F.col(key).isNotNull() & F.col("captured_at").isNotNull()
-            df = left_lookup(df.withColumn("_pair", F.when(usable, pair(key))), table, "_pair").drop("_pair")
-        else:
-            df = left_lookup(df, _first_sales(sales, key, found), key)
+    found = {"email": "_by_email", "phone": "_by_phone"}
+    if temporal:
+        at = F.col("captured_at").cast("string")
+        moment = lambda k: F.when(k.isNotNull() & at.isNotNull(), F.concat_ws("\u0001", k, at))
+        table = _first_sales_after(leads, sales).select(moment(F.col("k")).alias("k"), "sale")
+        df = leads
+        for key, name in found.items():
+            named = table.select("k", F.col("sale").alias(name))
+            df = left_lookup(df.withColumn("_k", moment(_tagged(key))), named, "_k", "k").drop("_k")
+    else:
+        df = _look_up(leads, _first_sales(sales), "sale", found)
     dated = F.col("captured_at").isNotNull()
     by_email = dated & F.col("_by_email").isNotNull()
     by_phone = dated & F.col("_by_phone").isNotNull()
@@ -217,12 +235,9 @@ def tracked_buyers(matched: DataFrame, sales: DataFrame, columns: tuple[str, ...
 
     One row per buyer e-mail (buyers without one stay one by one), tracked rows first.
     """
-    sold = matched.filter("converted")
-    out = sales
-    for key, to in (("email", "_by_email"), ("phone", "_by_phone")):
-        source = sold.filter(F.col(key).isNotNull()).select(key, "captured_at", id_col, *columns)
-        first = first_per_key(source, [key], [F.col("captured_at"), F.col(id_col)])
-        out = left_lookup(out, first.select(key, F.struct(*columns).alias(to)), key)
+    sold = _by_key(matched.filter("converted"), "captured_at", id_col, F.struct(*columns).alias("info"))
+    first = sold.groupBy("k").agg(F.min_by("info", F.struct("captured_at", id_col)).alias("info"))
+    out = _look_up(sales, first, "info", {"email": "_by_email", "phone": "_by_phone"})
     info = F.coalesce("_by_email", "_by_phone")
     out = (
         out.withColumn("_info", info).withColumn("tracked", F.col("_info").isNotNull())

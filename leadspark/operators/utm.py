@@ -24,34 +24,44 @@ def unify_source_term(df: DataFrame, source: str = "source", term: str = "term",
     return df.transform(unify_source, source, training).transform(unify_term, term)
 
 
+def _best_spellings(counts: DataFrame) -> DataFrame:
+    """``(value, spelling)`` from ``(value, n)``: the most frequent value of the same normal
+    form; equally frequent ones resolve to the first in text order."""
+    formed = counts.withColumn("form", comparison_form(F.col("value")))
+    best = formed.groupBy("form").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("spelling"))
+    return formed.join(best, "form").select("value", "spelling")
+
+
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def common_spellings(df: DataFrame, column: str) -> DataFrame:
-    """``(value, spelling)`` for values whose normal form has a more frequent spelling.
+    """``(value, spelling)`` of the values that have a more frequent spelling."""
+    return _best_spellings(_counts(df, column)).filter("value <> spelling")
 
-    Equally frequent spellings resolve to the first in text order.
-    """
-    counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-        .agg(F.count("*").alias("n")).withColumn("form", comparison_form(F.col("value")))
-    )
-    best = counts.groupBy("form").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("spelling"))
-    return counts.join(best, "form").filter("value <> spelling").select("value", "spelling")
+
+def _replace(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """Values replaced by ``table(__value, __new)``, where it has them."""
+    return left_lookup(df, sized_broadcast(table), column, "__value").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
 def merge_spellings(df: DataFrame, column: str) -> DataFrame:
     """Replace every spelling by the most frequent one of the same normal form."""
-    moves = sized_broadcast(common_spellings(df, column)).withColumnRenamed("value", "__value")
-    return (
-        left_lookup(df, moves, column, "__value")
-        .withColumn(column, F.coalesce("spelling", column)).drop("spelling")
-    )
+    return _replace(df, column, common_spellings(df, column).select(F.col("value").alias("__value"), F.col("spelling").alias("__new")))
 
 
 def extract_audience(df: DataFrame, column: str = "medium") -> DataFrame:
-    """Audience part of the medium, spellings merged, ``ABERTO`` written ``Aberto``."""
+    """Audience part of the medium, spellings merged, ``ABERTO`` written ``Aberto``.
+
+    All of it is worked out on the distinct values; the rows only look their value up.
+    """
     if column not in df.columns:
         return df
-    merged = merge_spellings(df.withColumn(column, u.medium_audience(F.col(column))), column)
-    return merged.withColumn(column, F.when(F.col(column) == "ABERTO", "Aberto").otherwise(F.col(column)))
+    raw = _counts(df, column).withColumn("audience", u.medium_audience(F.col("value")))
+    merged = _best_spellings(raw.groupBy(F.col("audience").alias("value")).agg(F.sum("n").alias("n")))
+    merged = merged.select(F.col("value").alias("audience"), F.when(F.col("spelling") == "ABERTO", "Aberto").otherwise(F.col("spelling")).alias("__new"))
+    return _replace(df, column, raw.join(merged, "audience").select(F.col("value").alias("__value"), "__new"))
 
 
 def map_categories(
