@@ -73,17 +73,6 @@ def hierarchy(ads: DataFrame, extra: tuple[str, ...] = ()) -> dict[str, DataFram
     }
 
 
-def nested_hierarchy(ads: DataFrame) -> DataFrame:
-    """One row per adset with its ads as a map; for export only, never joined."""
-    per_ad = ads.groupBy("campaign_id", "campaign_name", "adset_id", "adset_name", "ad_id").agg(
-        F.min("ad_name").alias("ad_name"), F.sum("spend").alias("spend")
-    )
-    entry = F.struct(F.col("ad_id").cast("string"), F.struct("ad_name", "spend"))
-    return per_ad.groupBy("campaign_id", "campaign_name", "adset_id", "adset_name").agg(
-        F.sum("spend").alias("spend"), F.map_from_entries(F.collect_list(entry)).alias("ads")
-    )
-
-
 def with_budget_flag(df: DataFrame, cents: bool = True) -> DataFrame:
     """Budgets in currency units and ``has_campaign_budget``: any daily or lifetime budget."""
     scale = 100.0 if cents else 1.0
