@@ -242,16 +242,18 @@ def spend_of_campaign_values(values: DataFrame, ads: DataFrame, threshold: float
     )
     text = F.col("value").cast("string")
     out = values.withColumn("_campaign_id", u.utm_id(text)).withColumn("_adset", F.lower(u.adset_from_campaign(text)))
-    out = left_lookup(out, campaigns, "_campaign_id", "_k")
-    wanted = out.filter("_campaign IS NOT NULL").select("_campaign_id", "_adset")
-    pairs = similar_pairs(wanted, adsets, "_adset", "_adset", threshold, within="_campaign_id")
+    pair = lambda c, a: F.when(F.col(c).isNotNull() & F.col(a).isNotNull(), F.concat_ws("\u0001", c, a))
+    out = left_lookup(out, campaigns, "_campaign_id", "_k").withColumn("_pair", pair("_campaign_id", "_adset"))
+    equal = adsets.select(pair("_campaign_id", "_adset").alias("_k"), F.col("spend").alias("_equal"))
+    out = left_lookup(out, equal, "_pair", "_k")
+    rest = out.filter("_campaign IS NOT NULL AND _equal IS NULL").select("_campaign_id", "_adset")
+    pairs = similar_pairs(rest, adsets, "_adset", "_adset", threshold, within="_campaign_id")
     best = (
-        pairs.join(adsets, (F.col("right") == F.col("_adset")) & (pairs["_campaign_id"] == adsets["_campaign_id"]))
-        .groupBy(pairs["_campaign_id"].alias("c"), F.col("left").alias("a"))
-        .agg(F.min_by("spend", F.struct(-F.col("ratio"), F.col("right"))).alias("_adset_spend"))
-        .select(F.concat_ws("\u0001", "c", "a").alias("_pair"), "_adset_spend")
+        pairs.withColumn("_k", pair("_campaign_id", "right")).join(equal, "_k")
+        .groupBy(pair("_campaign_id", "left").alias("_sk"))
+        .agg(F.min_by("_equal", F.struct(-F.col("ratio"), F.col("right"))).alias("_similar"))
     )
-    out = left_lookup(out.withColumn("_pair", F.concat_ws("\u0001", "_campaign_id", "_adset")), best, "_pair")
+    out = left_lookup(out, best, "_pair", "_sk").withColumn("_adset_spend", F.coalesce("_equal", "_similar"))
     budget = (
         F.coalesce(F.col("_campaign.has_campaign_budget"), F.lit(True))
         if "has_campaign_budget" in ads.columns else F.lit(True)
@@ -260,7 +262,7 @@ def spend_of_campaign_values(values: DataFrame, ads: DataFrame, threshold: float
         out.withColumn("spend", F.coalesce("_adset_spend", "_campaign.spend", F.lit(0.0)))
         .withColumn("has_campaign_budget", budget)
         .withColumn("matched_by", F.when(F.col("_adset_spend").isNotNull(), "adset").when(F.col("_campaign").isNotNull(), "campaign"))
-        .drop("_campaign_id", "_adset", "_campaign", "_pair", "_adset_spend")
+        .drop("_campaign_id", "_adset", "_campaign", "_pair", "_equal", "_similar", "_adset_spend")
     )
 
 

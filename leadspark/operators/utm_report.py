@@ -120,21 +120,22 @@ def keyword_report(leads: DataFrame, settings: Settings = DEFAULTS, source: str
     return add_economics(grouped.withColumn("spend", F.lit(0.0)), "google_ads", settings=settings)
 
 
+DIMENSIONS = {"campaign": "campaign", "medium": "medium", "ad": "content", "google_ads": "source"}
+
+
 def utm_economics(
-    leads: DataFrame, ads: DataFrame, as_of, days: tuple[int, ...] = (1, 3, 7), settings: Settings = DEFAULTS
+    leads: DataFrame, ads: DataFrame, as_of, days: tuple[int, ...] = (1, 3, 7), settings: Settings = DEFAULTS,
+    dimensions: tuple[str, ...] = tuple(DIMENSIONS),
 ) -> dict[str, DataFrame]:
-    """All dimensions over all trailing windows. ``leads`` need ``decile`` and UTM columns,
-    ``ads`` a ``day``."""
+    """The dimensions (those whose column is there) over all trailing windows. ``leads``
+    need ``decile`` and UTM columns, ``ads`` a ``day``."""
     timed = cost.trailing(leads, "captured_at", as_of, days)
     paid = cost.trailing(ads, "day", as_of, days)
-    out = {"campaign": campaign_report(timed, paid, settings)}
-    if "medium" in leads.columns:
-        out["medium"] = adset_report(timed, paid, settings)
-    if "content" in leads.columns:
-        out["ad"] = ad_report(timed, paid, settings)
-    if "source" in leads.columns:
-        out["google_ads"] = keyword_report(timed, settings)
-    return out
+    reports = {
+        "campaign": lambda: campaign_report(timed, paid, settings), "medium": lambda: adset_report(timed, paid, settings),
+        "ad": lambda: ad_report(timed, paid, settings), "google_ads": lambda: keyword_report(timed, settings),
+    }
+    return {d: reports[d]() for d in dimensions if DIMENSIONS[d] in leads.columns}
 
 
 def window_totals(leads: DataFrame) -> DataFrame:

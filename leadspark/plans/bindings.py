@@ -123,16 +123,18 @@ class Tables:
         """Scored leads whose UTM values name the suppliers and parts of the cost rows."""
         s = self.read("supplier").select("s_suppkey", "s_name", "s_nationkey")
         p = self.read("part").select("p_partkey", "p_name")
+        sizes = s.agg(F.count("*").alias("n_s")).crossJoin(p.agg(F.count("*").alias("n_p")))  # one row
         lead = F.col("lead_id")
         nation = F.lpad(F.col("s_nationkey").cast("string"), 14, "0")
         medium = F.when(lead % 7 == 0, "paid").when(lead % 11 == 0, "{{adset.name}}").otherwise(F.col("s_name"))
         content = F.when(lead % 19 == 0, None).when(lead % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
         return (
-            self.scored.join(s, lead % 10 == F.col("s_suppkey")).join(p, lead % 200 == F.col("p_partkey"))
+            self.scored.crossJoin(F.broadcast(sizes)).withColumn("_s", lead % F.col("n_s")).withColumn("_p", lead % F.col("n_p"))
+            .join(s, F.col("_s") == F.col("s_suppkey")).join(p, F.col("_p") == F.col("p_partkey"))
             .withColumn("campaign", F.concat(F.lit("DEMO | CAP | FRIO | FASE 01 | "), F.col("s_name"), F.lit(" | PG2 | 2024-01-15|1202"), nation))
             .withColumn("medium", medium).withColumn("content", content)
             .withColumn("source", F.when(lead % 4 == 2, "google-ads").otherwise("facebook-ads"))
-            .drop("s_suppkey", "s_name", "s_nationkey", "p_partkey", "p_name")
+            .drop("_s", "_p", "n_s", "n_p", "s_suppkey", "s_name", "s_nationkey", "p_partkey", "p_name")
         )
 
     @cached_property
@@ -322,7 +324,8 @@ leads_utm AS (
          CASE WHEN lead_id % 7 = 0 THEN 'paid' WHEN lead_id % 11 = 0 THEN '{{{{adset.name}}}}' ELSE s.s_name END AS medium,
          CASE WHEN lead_id % 19 = 0 THEN NULL WHEN lead_id % 3 = 0 THEN upper(p.p_name) ELSE p.p_name END AS content,
          CASE WHEN lead_id % 4 = 2 THEN 'google-ads' ELSE 'facebook-ads' END AS source
-  FROM scored c JOIN supplier s ON c.lead_id % 10 = s.s_suppkey JOIN part p ON c.lead_id % 200 = p.p_partkey),
+  FROM scored c JOIN supplier s ON c.lead_id % (SELECT count(*) FROM supplier) = s.s_suppkey
+  JOIN part p ON c.lead_id % (SELECT count(*) FROM part) = p.p_partkey),
 leads_arms AS (
   SELECT * EXCLUDE (medium), CASE WHEN lead_id % 9 = 0 THEN concat('set  ', lead_id % 5) ELSE concat('Set ', lead_id % 5) END AS medium,
          concat('AD0', lead_id % 40) AS ad_code, right(campaign, 18) AS campaign_id,

@@ -164,7 +164,7 @@ _CAMPAIGN = f"""SELECT g.*, c.spend, c.has_campaign_budget, coalesce(c.campaign_
     sql(_economics(_CAMPAIGN, "campaign", "has_campaign_budget", "period_days, value, has_campaign_budget"), _TIMED),
 )
 def utm_economics(t):
-    return _rounded(rep.utm_economics(t.leads_utm.drop("medium", "content", "source"), t.ads, AS_OF)["campaign"])
+    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, dimensions=("campaign",))["campaign"])
 
 
 _ADSET = f"""SELECT g.*, c.spend, c.has_adset_budget, c.adset_name AS value FROM
@@ -180,7 +180,7 @@ _ADSET = f"""SELECT g.*, c.spend, c.has_adset_budget, c.adset_name AS value FROM
     sql(_economics(_ADSET, "medium", "has_adset_budget", "period_days, value, has_adset_budget, campaign_name"), _TIMED),
 )
 def utm_economics_adset(t):
-    return _rounded(rep.utm_economics(t.leads_utm.drop("content", "source"), t.ads, AS_OF)["medium"])
+    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, dimensions=("medium",))["medium"])
 
 
 _AD = f"""SELECT g.*, n.spend FROM
@@ -198,7 +198,7 @@ _AD = f"""SELECT g.*, n.spend FROM
 @query("utm_economics_ad", sql(_economics(_AD, "ad", "true", "period_days, value, campaign_name, adset_name"), _TIMED))
 def utm_economics_ad(t):
     exact = Settings(ad_similarity=1.0)  # SQL has no sequence similarity
-    return _rounded(rep.utm_economics(t.leads_utm.drop("source"), t.ads, AS_OF, settings=exact)["ad"])
+    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, settings=exact, dimensions=("ad",))["ad"])
 
 
 _WORDS = f"""SELECT period_days, nullif(split_part(term, '--', 1), '') AS value, count(lead_score) AS leads, 0.0 AS spend, {_SHARES}
@@ -207,7 +207,7 @@ FROM timed_leads WHERE source = 'google-ads' AND term NOT IN ('fb', 'ig') GROUP
 
 @query("utm_economics_keywords", sql(_economics(_WORDS, "google_ads", "true", "period_days, value"), _TIMED))
 def utm_economics_keywords(t):
-    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF)["google_ads"])
+    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, dimensions=("google_ads",))["google_ads"])
 
 
 @query(
@@ -231,9 +231,14 @@ def fuzzy_residue(t):
 
 @query("fuzzy_campaign_values")
 def fuzzy_campaign_values(t):
-    """Campaign UTM values to the adset they name, exactly or similarly, else the campaign."""
-    values = t.leads_utm.select(F.regexp_replace("campaign", "Supplier#", "Supplyer#").alias("value")).distinct()
-    return ops.spend_of_campaign_values(values, t.ads)
+    """Campaign UTM values to the adset they name, exactly or similarly, else the campaign.
+
+    Part names stand for adset names; a third of the values is spelt differently."""
+    ads = t.ads.withColumn("adset_name", F.col("ad_name")).withColumn("adset_id", F.col("ad_name"))
+    kind = F.pmod(F.xxhash64("campaign_id", "ad_name"), F.lit(3))
+    named = F.when(kind == 0, F.upper("ad_name")).when(kind == 1, F.concat("ad_name", F.lit("s"))).otherwise(F.reverse("ad_name"))
+    text = F.concat(F.lit("DEMO | CAP | FRIO | FASE 01 | "), named, F.lit(" | PG2 | 2024-01-15|"), "campaign_id")
+    return ops.spend_of_campaign_values(ads.select(text.alias("value")).distinct(), ads)
 
 
 @query("fuzzy_name_values")

@@ -265,12 +265,12 @@ def comparison_groups(t):
  LEFT JOIN (SELECT CASE WHEN CAST(right(campaign, 2) AS INT) % 2 = 0 THEN 'Eventos ML' ELSE 'Faixa A' END AS comparison_group, count(DISTINCT email) AS conversions, sum(sale_value) AS revenue
   FROM leads_arms WHERE converted AND regexp_replace(medium, '\\s+', ' ', 'g') IN (SELECT adset_name FROM shared)
     AND campaign_id IN (SELECT campaign_id FROM adset_rows) GROUP BY 1) s ON e.comparison_group = s.comparison_group""",
-        "shared AS (SELECT DISTINCT adset_name FROM adset_rows WHERE ml_type = 'SEM_ML' AND adset_id % 5 < 3)"),
+        "shared AS (SELECT DISTINCT adset_name FROM adset_rows WHERE ml_type = 'SEM_ML' AND adset_name < 'Set 3')"),
 )
 def legacy_arm(t):
     long_ids = lambda df: df.withColumn("campaign_id", _long_id(F.col("campaign_id")))
     rows = long_ids(t.adset_rows)
-    mapping = rows.filter("ml_type = 'SEM_ML'").select("adset_name", "campaign_id", (F.col("adset_id") % 5 < 3).cast("int").alias("in_events")).distinct()
+    mapping = rows.filter("ml_type = 'SEM_ML'").select("adset_name", "campaign_id", (F.col("adset_name") < "Set 3").cast("int").alias("in_events")).distinct()
     events = rows.filter("ml_type = 'COM_ML'").select("campaign_id").distinct()
     named = F.concat(F.regexp_replace("campaign", r"\|[0-9]+$", "|"), _long_id(F.substring_index("campaign", "|", -1)))
     leads = t.leads_arms.withColumn("campaign", named)

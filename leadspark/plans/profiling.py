@@ -155,14 +155,14 @@ def sales_combined(t):
     return sal.combine_sales(a, b).select("email", "sale_date", "sale_origin", "sale_value")
 
 
-_COMBINED = """own AS (SELECT DISTINCT email, captured_at FROM leads WHERE email IS NOT NULL AND lead_id % 3 = 0 AND captured_at >= DATE '2024-01-05' AND captured_at < DATE '2024-01-16'),
+_COMBINED = """own AS (SELECT DISTINCT email, captured_at FROM leads WHERE email IS NOT NULL AND medium = 'ABERTO' AND captured_at >= DATE '2024-01-05' AND captured_at < DATE '2024-01-16'),
 extra AS (SELECT email, captured_at, substr(right(campaign, 18), 1, 15) AS campaign_id_meta FROM leads
   WHERE email IS NOT NULL AND captured_at >= DATE '2024-01-05' AND captured_at < DATE '2024-01-16' AND email NOT IN (SELECT email FROM own)),
 both_sources AS (SELECT email, captured_at, NULL AS campaign_id_meta, 'survey' AS source_type FROM own UNION ALL SELECT email, captured_at, campaign_id_meta, 'capi' FROM extra)"""
 
 
 def _sources(t):
-    survey = t.leads.filter("lead_id % 3 = 0 AND email IS NOT NULL").select("email", "phone", "captured_at", "campaign", "medium", "term", "lead_score")
+    survey = t.leads.filter("medium = 'ABERTO' AND email IS NOT NULL").select("email", "phone", "captured_at", "campaign", "medium", "term", "lead_score")
     return survey, src.captured_leads(t.captures)
 
 

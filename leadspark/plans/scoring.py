@@ -20,7 +20,7 @@ def deciles_qcut(t):
 
 
 _BANDS = """bands AS (SELECT decile, min(lead_score) AS threshold_min, max(lead_score) AS threshold_max, count(*) AS count,
-  avg(lead_score) AS mean_probability, stddev_samp(lead_score) AS std_probability FROM scored WHERE lead_id % 10 < 7 GROUP BY decile)"""
+  avg(lead_score) AS mean_probability, stddev_samp(lead_score) AS std_probability FROM scored WHERE captured_at < DATE '2024-01-22' GROUP BY decile)"""
 _ASSIGNED = _BANDS + """, assigned AS (SELECT l.lead_id, coalesce(
     (SELECT arg_min(b.decile, (b.threshold_min, b.decile)) FROM bands b WHERE l.lead_score BETWEEN b.threshold_min AND b.threshold_max),
     (SELECT max(10) FROM bands b WHERE b.decile = 10 AND l.lead_score > b.threshold_max),
@@ -30,8 +30,8 @@ _ASSIGNED = _BANDS + """, assigned AS (SELECT l.lead_id, coalesce(
 
 
 def _bands(t):
-    """Thresholds learnt on the training part of the leads."""
-    return dec.thresholds(t.scored.filter("lead_id % 10 < 7"))
+    """Thresholds learnt on the first three weeks."""
+    return dec.thresholds(t.scored.filter("captured_at < DATE '2024-01-22'"))
 
 
 @query(
