@@ -69,6 +69,8 @@ def similar_pairs(
 
     With ``within`` only values of the same group are compared.
     """
+    if threshold < 0.7:  # below, shared pairs are no longer guaranteed for names of usual length
+        raise ValueError("threshold must be at least 0.7")
     group = F.lit("") if within is None else F.col(within).cast("string")
     a = left.select(group.alias("grp"), F.col(left_col).alias("a")).filter("a IS NOT NULL").distinct()
     b = right.select(group.alias("grp"), F.col(right_col).alias("b")).filter("b IS NOT NULL").distinct()

@@ -130,6 +130,12 @@ def compare_arms(metrics: DataFrame, treated: str = "COM_ML", control: str = "SE
         F.when(F.col("id") == 0, treated).otherwise(control).alias(arm)
     )
     totals = both.join(arm_totals(metrics, arm), arm, "left").na.fill(0)
+    return arm_difference(totals, arm, treated, control)
+
+
+def arm_difference(totals: DataFrame, arm: str, treated: str, control: str) -> DataFrame:
+    """Two rows of numbers, one per arm, as one row: ``treated_*``, ``control_*`` and the
+    difference in percent of the control, ``diff_*``."""
     measures = [c for c in totals.columns if c != arm]
     at = lambda k, m: F.max(F.when(F.col(arm) == k, F.col(m)))
     one = totals.agg(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import CORRECTED_RATES, DECILES
 from ..operators import deciles as dec
 from ..operators import encode as enc
 from ..operators import events as ev
@@ -76,8 +77,7 @@ _EVENTS = """caps AS (SELECT email, arg_min(id, (NOT coalesce(first_name <> '',
 c AS (SELECT captures.* FROM captures JOIN caps USING (id)),
 enriched AS (SELECT s.email, s.phone, s.decile, s.lead_score, coalesce(c.event_id, 'lead_1706659200_' || substr(s.email, 1, 8)) AS event_id,
     s.name AS first_name, c.fbp, c.fbc FROM scored s LEFT JOIN c ON s.email = c.email WHERE s.email IS NOT NULL)"""
-_RATES = " ".join(f"WHEN {k} THEN {r}::DOUBLE" for k, r in zip(range(1, 11), (
-    0.003836, 0.004933, 0.003838, 0.010415, 0.005480, 0.012064, 0.012059, 0.018636, 0.025207, 0.034551)))
+_RATES = " ".join(f"WHEN {k} THEN {r}::DOUBLE" for k, r in zip(DECILES, CORRECTED_RATES))
 
 
 def _enriched(t):

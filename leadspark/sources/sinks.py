@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, deciles, metrics, profile
 from ..operators.joins import left_lookup
+from ..operators.model import LeadScorer
+from .tables import read_table
 
 
 def snapshot(captures: DataFrame, path: str, n: int = 1000, time: str = "created_at", tie: str = "id") -> DataFrame:
@@ -45,8 +47,19 @@ def scores_to_rows(rows: DataFrame, scores: DataFrame, row_id: str = "row_id") -
     return left_lookup(rows.drop("lead_score", "decile"), scores.select(row_id, "lead_score", "decile"), row_id)
 
 
-def append_captures(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_captures(df: DataFrame, path: str, time: str = "created_at") -> None:
+    """Append captures by day, so that period filters prune folders."""
+    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def score_file(spark: SparkSession, path: str, scorer: LeadScorer, mapping: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """Rows of a lead file with score and decile. Rows without a ``row_id`` are known by a
+    hash of their content: equal rows are scored once and all keep the score."""
+    raw = read_table(spark, path, provenance=False)
+    if "row_id" not in raw.columns:
+        raw = raw.withColumn("row_id", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])), 256))
+    scores = scorer.score(raw.dropDuplicates(["row_id"]), ("row_id",), mapping, valid)
+    return scores_to_rows(raw, scores)
 
 
 def report_tables(

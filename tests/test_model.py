@@ -105,6 +105,14 @@ def test_save_load_and_csv(spark, scorer, tmp_path):
     a = {r["row_id"]: r["lead_score"] for r in made.score(back).collect()}
     assert a == {r["row_id"]: r["lead_score"] for r in again.score(back).collect()} and len(a) == 30
     assert spark.read.json(str(tmp_path / "m/thresholds")).count() <= 10
+    from leadspark.sources.sinks import score_file
+
+    raw = raw_leads(spark, 30, 3).drop("target", "row_id")
+    raw.unionByName(raw).coalesce(1).write.option("header", True).csv(str(tmp_path / "file.csv"))
+    out = score_file(spark, str(tmp_path / "file.csv"), made)
+    assert out.count() == 60 and out.filter("lead_score IS NULL OR decile IS NULL").count() == 0
+    assert {"E-mail", "Nome Completo"} <= set(out.columns)
+    assert sorted(r["lead_score"] for r in out.collect())[::2] == sorted(a.values())
 
 
 def test_tune(spark, scorer):
