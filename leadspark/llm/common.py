@@ -55,3 +55,14 @@ def text_or_empty(column: str = "text") -> Column:
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def matching(docs: DataFrame, keys: DataFrame, marks: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``xxhash64`` of the text are in ``keys (k_id, k_hash)``.
+
+    With ``marks`` the two key columns stay, named by ``fresh(docs, "k_id", "k_hash")``.
+    """
+    a, b = fresh(docs, "k_id", "k_hash")
+    marked = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(text_or_empty())}).alias("l")
+    found = marked.join(keys.select("k_id", "k_hash").toDF(a, b).alias("r"), F.col(f"l.{a}").eqNullSafe(F.col(f"r.{a}")) & (F.col(f"l.{b}") == F.col(f"r.{b}")), "left_semi")
+    return found if marks else found.drop(a, b)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import fresh, lower_ascii, saved, text_or_empty
+from .common import fresh, lower_ascii, matching, saved, text_or_empty
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -84,7 +84,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     normal = lower_ascii(text_or_empty())
     rows = saved(identities(docs, normal, {"doc_id": F.col("doc_id").cast("long"), "text_sha256": F.sha2(normal.cast("binary"), 256)}), "identities")
     groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("level", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    # written first, so that the join back deals both sides anew and can split a hot group
+    groups = saved(groups.select("level", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")), "equal-groups")
     joined = rows.join(groups, ["level", "name"])
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
@@ -95,11 +96,8 @@ def one_of_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
     Rows that agree in doc_id and text are repeats of one document; one of them stays.
     """
     a, b, place = fresh(docs, "k_id", "k_hash", "place")
-    keys = keys.select(F.col("k_id").alias(a), F.col("k_hash").alias(b)).distinct()
-    marked = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(text_or_empty())})
-    found = marked.alias("l").join(keys.alias("r"), F.col(f"l.{a}").eqNullSafe(F.col(f"r.{a}")) & (F.col(f"l.{b}") == F.col(f"r.{b}")), "left_semi")
-    numbered = found.withColumn(place, F.row_number().over(W.Window.partitionBy(a, b).orderBy(b)))
-    return numbered.filter(F.col(place) == 1).select(*docs.columns)
+    numbered = matching(docs, keys, marks=True).withColumn(place, F.row_number().over(W.Window.partitionBy(a, b).orderBy(b)))
+    return numbered.filter(F.col(place) == 1).drop(a, b, place)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, packing, token_files, url_filter
+from . import chat_format, exact_dedup, mixing, packing, quality, simhash, token_files, url_filter
 from .common import folder, ready, table
 
 
@@ -29,6 +29,25 @@ def op4_chat_format(spark, sf_dir):
     )
 
 
+def op5_mixing(spark, sf_dir):
+    """All documents mixed to the sources' target weights."""
+    docs = table(spark, sf_dir, "documents")
+    rows = mixing.with_copies(docs.select("doc_id", "text", "source"), mixing.mixed(docs), "size", "source_size", "target", "copies")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_quality(spark, sf_dir):
+    """Text statistics and the verdict of the quality rules on every document."""
+    rows = quality.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "log_perplexity")
+
+
+def op7_simhash(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_token_files(spark, sf_dir):
     """Ids of every document written as ORC and read back."""
     docs, path = table(spark, sf_dir, "documents"), folder(spark, "token-ids")
@@ -48,7 +67,7 @@ def op10_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op8_token_files, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_mixing, op6_quality, op7_simhash, op8_token_files, op9_exact_dedup, op10_packing)}
 
 ORACLE = {
     "op2_url_filter": """

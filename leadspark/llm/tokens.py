@@ -8,11 +8,12 @@ encoded by the ``tokenizers`` library; a chunk seen before is only looked up.
 from __future__ import annotations
 
 import re
+import struct
 
 from tokenizers import Tokenizer
 
 #: Chunks remembered by one worker (about 200 bytes each); when full, the memory starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 _LONGEST = 200
 #: White space other than the plain space and the line feed.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -20,29 +21,46 @@ _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the rest from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Known(dict):
     """Chunk to little-endian 32-bit ids; ``lead`` stands before each chunk."""
 
     def __init__(self, tokenizer: Tokenizer, lead: str = "", bare: _Known | None = None):
         super().__init__()
-        self.tokenizer, self.lead, self.bare = tokenizer, lead, self if bare is None else bare
+        self.tokenizer, self.model, self.normalizer = tokenizer, tokenizer.model, tokenizer.normalizer
+        self.lead, self.bare = lead, self if bare is None else bare
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        # chunks put together from others are not remembered
         if self.lead and chunk[:1] == b"\n":
-            ids = self.bare[b"\n"] + self.bare[chunk[1:]]
-        elif text[-1:] in (".", ",") and text[-2:-1].isalpha():
+            return self.bare[b"\n"] + self.bare[chunk[1:]]
+        if text[-1:] in (".", ",") and text[-2:-1].isalpha():
             # a full stop or comma after a letter is a chunk of its own
-            ids = self[chunk[:-1]] + self.bare[chunk[-1:]]
-        else:
-            found = self.tokenizer.encode(self.lead + text, add_special_tokens=False).ids
-            ids = b"".join(i.to_bytes(4, "little") for i in found)
+            return self[chunk[:-1]] + self.bare[chunk[-1:]]
+        ids = struct.pack(f"<{len(found := self._ids(text))}I", *found)
         if len(self) >= REMEMBERED:
             self.clear()
         if len(chunk) <= _LONGEST:
             self[chunk] = ids
         return ids
 
+    def _ids(self, text: str) -> list[int]:
+        plain = self.normalizer.normalize_str(text) if self.normalizer else text
+        if plain.isalpha() and max(plain) < "\u0250":
+            # one word of Latin letters is one chunk for the merges
+            return [t.id for t in self.model.tokenize((self.lead + plain).encode().decode("latin-1").translate(_LETTERS))]
+        return self.tokenizer.encode(self.lead + text, add_special_tokens=False).ids
+
 
 class Encoder:
     """``encode(text)``: ids as little-endian unsigned 32-bit integers."""
