@@ -27,6 +27,8 @@ SHARE, MOST = 1.5, 2.0
 #: Documents in a block of the first level, and open documents that meet in one node above.
 BLOCK, FAN = 1024, 256
 SEED = 5
+#: Random roundings of a node, of which the one nearest to its expected words is taken.
+TRIES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -86,78 +88,89 @@ def _pivot(p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
     return p, open_at
 
 
-def _uniform(hashes: np.ndarray) -> np.ndarray:
-    """Draws in [0, 1) from signed 64-bit hashes."""
-    return (hashes.view(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+def _draws(h: np.ndarray, level: int, attempt: int) -> np.ndarray:
+    """Draws in [0, 1) fixed by each item's hash, the level and the attempt."""
+    x = h.view(np.uint64) + np.uint64((level * TRIES + attempt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def settle_node(p: np.ndarray, size: np.ndarray, h: np.ndarray, level: int) -> tuple[np.ndarray, int]:
+    """One node's rounding: of ``TRIES`` pivotal roundings that whose words differ least from the expected ones."""
+    best = None
+    for attempt in range(TRIES):
+        settled, at = _pivot(p.copy(), _draws(h, level, attempt))
+        error = abs(float((settled - p) @ size))
+        if best is None or error < best[0] - 1e-9:
+            best = (error, settled, at)
+    return best[1], best[2]
 
 
 _SETTLED = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("node", T.LongType()), T.StructField("group", T.LongType()),
-    T.StructField("p", T.DoubleType()), T.StructField("open", T.BooleanType()),
+    *(T.StructField(k, T.LongType()) for k in ("key", "h", "node", "group", "size")), T.StructField("p", T.DoubleType()), T.StructField("open", T.BooleanType()),
 ])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``group, node, key, h, p, draw`` sorted by group and node: settle each node's rows."""
-    held: pa.Table | None = None
+def _settle(level: int):
+    """Task over rows ``key, h, node, group, size, p`` sorted by group and node: settles each node's rows."""
 
     def done(part: pa.Table) -> pa.RecordBatch:
-        group, node = (part.column(k).to_numpy() for k in ("group", "node"))
-        p, draws = part.column("p").to_numpy().copy(), _uniform(part.column("draw").to_numpy())
-        left = np.zeros(len(p), bool)
+        part = part.combine_chunks()
+        h, node, group, size, p = (part.column(k).to_numpy() for k in ("h", "node", "group", "size", "p"))
+        p, left = p.copy(), np.zeros(len(p), bool)
         starts = np.nonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (node[1:] != node[:-1]))))[0]
         for a, b in zip(starts, [*starts[1:], len(p)], strict=True):
-            settled, at = _pivot(p[a:b], draws[a:b])
+            p[a:b], at = settle_node(p[a:b], size[a:b], h[a:b], level)
             if at >= 0:
                 left[a + at] = True
-        return pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), part.column("h").combine_chunks(), pa.array(node), pa.array(group), pa.array(p), pa.array(left)], names=_SETTLED.names)
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        if not held.num_rows:
-            continue
-        group, node = (held.column(k).to_numpy() for k in ("group", "node"))
-        # the last node may go on in the next batch
-        before = np.nonzero((group != group[-1]) | (node != node[-1]))[0]
-        if len(before):
-            cut = int(before[-1]) + 1
-            yield done(held.slice(0, cut).combine_chunks())
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield done(held.combine_chunks())
-
-
-def _level(rows: DataFrame) -> DataFrame:
-    """One level of the tree: nodes, of a bounded number of rows, are dealt to tasks whole and settled there."""
-    dealt = rows.repartition("group", "node").sortWithinPartitions("group", "node", "order", "draw")
-    return saved(dealt.select("group", "node", "key", "h", "p", "draw").mapInArrow(_settle, _SETTLED), "rounding")
-
-
-def _draw(level: int) -> Column:
-    return F.xxhash64(F.lit(SEED), F.lit(level), "h")
+        columns = [part.column(k).combine_chunks() for k in ("key", "h", "node", "group", "size")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array(left)], names=_SETTLED.names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not held.num_rows:
+                continue
+            group, node = (held.column(k).to_numpy() for k in ("group", "node"))
+            # the last node may go on in the next batch
+            before = np.nonzero((group != group[-1]) | (node != node[-1]))[0]
+            if len(before):
+                cut = int(before[-1]) + 1
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return task
 
 
 def round_together(items: DataFrame) -> DataFrame:
-    """``key, p`` with ``p`` zero or one, from ``key, h, group, p, order, number``.
+    """``key, p`` with ``p`` zero or one, from ``key, h, group, size, p, number``.
 
-    Within each ``group`` the ones are as many as the sum of ``p``, up or down to an integer,
-    and each item is one with its probability. In a block items meet in ``order``. ``h`` is a
-    hash that fixes an item's draws, ``number`` the group's items, cut into blocks of about ``BLOCK``.
+    Within each ``group`` the ones are as many as the sum of ``p``, up or down to an integer.
+    In a node items meet by falling size, so mass moves between like sizes and what stays open
+    is small. ``h`` is a hash that fixes an item's draws, ``number`` the group's items, which
+    are cut into blocks of about ``BLOCK``. Nodes have a bounded number of rows at every level
+    and are dealt to tasks whole.
     """
     blocks = F.greatest(F.ceil(F.col("number") / BLOCK), F.lit(1)).cast("long")
-    rows = items.select("key", "h", "group", "p", "order", F.pmod(_draw(-1), blocks).alias("node"), _draw(0).alias("draw"))
+    rows = items.withColumn("node", F.pmod(F.xxhash64(F.lit(SEED), "h"), blocks))
     done, level = [], 0
     while True:
-        settled = _level(rows)
+        rows = rows.select("key", "h", "node", "group", "size", "p").repartition("group", "node")
+        ordered = rows.sortWithinPartitions("group", "node", F.desc("size"), "h")
+        settled = saved(ordered.mapInArrow(_settle(level), _SETTLED), "rounding")
         done.append(settled.filter("NOT open").select("key", "p"))
         still = settled.filter("open")
         if not still.agg(F.max("node").alias("top")).first().top:
             break
         level += 1
-        rows = still.select("key", "h", "group", "p", F.col("node").alias("order"), F.floor(F.col("node") / FAN).alias("node"), _draw(level).alias("draw"))
+        rows = still.withColumn("node", F.floor(F.col("node") / FAN))
     # each group has one open item at most, settled by a draw of its own
-    own = F.pmod(_draw(-2), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    own = F.pmod(F.xxhash64(F.lit(SEED), F.lit("last"), "h"), F.lit(1 << 53)).cast("double") / float(1 << 53)
     out = still.select("key", F.when(own < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     for part in done:
         out = out.unionByName(part)
@@ -184,7 +197,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     rated = items.join(targets, F.col("k_source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     rated = saved(rated.withColumn("whole", F.floor(F.col("rate") + 1e-12)), "mixing-rates")
     open_items = rated.withColumn("p", F.col("rate") - F.col("whole")).filter("p > 1e-9")
-    chosen = round_together(open_items.select("key", "h", "group", "p", F.col("size").alias("order"), "number")).withColumnRenamed("p", "one")
+    chosen = round_together(open_items.select("key", "h", "group", "size", "p", "number")).withColumnRenamed("p", "one")
     copies = F.col("whole") + F.coalesce(F.col("one").cast("long"), F.lit(0))
     return rated.join(chosen, "key", "left").select("k_id", "k_hash", "k_source", "size", "source_size", "target", copies.alias("copies"))
 

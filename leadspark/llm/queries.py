@@ -5,15 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality, simhash, token_files, url_filter
+from . import chat_format, exact_dedup, mixing, packing, ppm, quality, secrets, simhash, token_files, url_filter
 from .common import folder, ready, table
 
 
+def op1_secrets(spark, sf_dir):
+    """Secrets in every document."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind != "random")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, ("assign", "access", "hex", "random")), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op2_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page."""
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op3_lm_score(spark, sf_dir):
+    """Word baseline and trie score of every document."""
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark, sf_dir):
     """Every conversation, and one of control strings only, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,7 +81,7 @@ def op10_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_mixing, op6_quality, op7_simhash, op8_token_files, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_url_filter, op3_lm_score, op4_chat_format, op5_mixing, op6_quality, op7_simhash, op8_token_files, op9_exact_dedup, op10_packing)}
 
 ORACLE = {
     "op2_url_filter": """
