@@ -84,6 +84,23 @@ def op10_packing(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_url_filter, op3_lm_score, op4_chat_format, op5_mixing, op6_quality, op7_simhash, op8_token_files, op9_exact_dedup, op10_packing)}
 
 ORACLE = {
+    "op4_chat_format": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), marked AS (
+            SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role THEN 1 ELSE 0 END AS begins,
+                   length(text) + length(text) - length(replace(text, '\\', ''))
+                   + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+                   + (length(text) - length(replace(text, '<sep>', ''))) // 5 + (length(text) - length(replace(text, '</s>', ''))) // 4 AS guarded
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(guarded + begins * (6 + length(role) + 7 + 4) + (1 - begins) * 5) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
     "op2_url_filter": """
         WITH parts AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
