@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_invisible
-from .joins import left_lookup, sized_broadcast
+from .joins import left_lookup
 
 # Column names of the survey export.
 SCORING_COLUMNS = ("Pontuação", "Score", "Faixa", "Faixa A", "Faixa B", "Faixa C", "Faixa D")
@@ -165,7 +165,7 @@ def unify_categories(df: DataFrame) -> DataFrame:
 
 def rename_values(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Exact renames from a ``mapping(value, category)`` table; others stay as they are."""
-    table = sized_broadcast(mapping.select(F.col("value").alias("__v"), F.col("category").alias("__c")).dropDuplicates(["__v"]))
+    table = mapping.select(F.col("value").alias("__v"), F.col("category").alias("__c")).dropDuplicates(["__v"])
     return left_lookup(df, table, column, "__v").withColumn(column, F.coalesce("__c", column)).drop("__c")
 
 

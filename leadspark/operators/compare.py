@@ -13,7 +13,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import economics as eco
 from ..functions import utm as u
 from ..functions.text import collapse_spaces, ratio_den1, safe_ratio
-from .joins import left_lookup, sized_broadcast
+from .joins import left_lookup
 
 EVENTS, OPTIMISED, CONTROL, OTHER = "Eventos ML", "Otimização ML", "Controle", "Outro"
 LEGACY = "Faixa A"
@@ -120,12 +120,12 @@ def with_comparison_group(
 def label_arms(rows: DataFrame, arms: DataFrame) -> DataFrame:
     """Report rows of the listed campaigns with their arm as ``ml_type``."""
     table = arms.select("campaign_id", F.col("arm").alias("ml_type")).dropDuplicates(["campaign_id"])
-    return rows.join(sized_broadcast(table), "campaign_id")
+    return rows.join(table, "campaign_id")
 
 
 def at_level(rows: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
     """Rows whose campaign, ad code or adset is in the list of a comparison level."""
-    return rows.join(sized_broadcast(allowed.select(column).distinct()), column, "left_semi")
+    return rows.join(allowed.select(column).distinct(), column, "left_semi")
 
 
 # -- pairs ------------------------------------------------------------------------------

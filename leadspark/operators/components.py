@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove
 from .joins import left_lookup
 
 
@@ -39,14 +39,15 @@ def _settled(stars: DataFrame) -> bool:
     return not per.filter("hangs > 1 OR (hangs > 0 AND holds > 0)").take(1)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for an edge list ``(u, v)`` of one orderable type.
 
     Alternating large and small stars until only stars are left (a logarithmic number of
     rounds). Each star is a minimum per node, folded map-side, and a join whose one side
     has a row per node, so a node with very many neighbours is only a skewed join key.
     Every round is written to the shared checkpoint folder and read back: the lineage is
-    cut, nothing is computed twice, and a lost executor re-reads files.
+    cut, nothing is computed twice, and a lost executor re-reads files. A round goes once the
+    next one is written.
     """
     spark = edges.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
@@ -56,12 +57,13 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     current = pinned(_undirected(edges).filter("u > v").distinct(), "edges")
-    for turn in range(max_rounds):
+    turn, before = 0, "edges"
+    while True:
         current = pinned(_small_star(_large_star(current)), f"round-{turn}")
+        remove(spark, f"{folder}/{before}")
         if _settled(current):
             break
-    else:
-        raise RuntimeError("components did not settle")
+        turn, before = turn + 1, f"round-{turn}"
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -39,8 +39,10 @@ def thresholds(df: DataFrame, column: str = "lead_score", decile: str = "decile"
 
 
 def bands(table: DataFrame) -> list[tuple[int, float, float]]:
-    """The ten threshold rows on the driver, to be folded into expressions."""
-    rows = table.select("decile", "threshold_min", "threshold_max").limit(len(DECILES)).collect()
+    """The threshold rows (one per decile) on the driver, to be folded into expressions."""
+    rows = table.select("decile", "threshold_min", "threshold_max").take(len(DECILES) + 1)
+    if len(rows) > len(DECILES):
+        raise ValueError(f"a threshold table has at most {len(DECILES)} rows")
     return [tuple(r) for r in rows]
 
 

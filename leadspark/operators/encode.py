@@ -30,8 +30,6 @@ SPECIAL_NAMES = {
     "Tem_computador_notebook_SIM": "Tem_computador_notebook_Sim",
     "Medium_outros": "Medium_Outros",
 }
-MAX_NUMERIC_CATEGORIES = 20
-MAX_CATEGORIES = 500
 
 
 @dataclass
@@ -74,9 +72,9 @@ class Encoder:
 
 def fit_encoder(
     df: DataFrame, exclude: tuple[str, ...] = ("target",), production_names: bool = True,
-    ordinals: dict = ORDINALS, numeric: tuple[str, ...] = NUMERIC,
+    ordinals: dict = ORDINALS, numeric: tuple[str, ...] = NUMERIC, numeric_categories: int = 20,
 ) -> Encoder:
-    """Learn categories: text and boolean columns, and numbers of at most 20 values.
+    """Learn categories: text and boolean columns, and numbers of at most ``numeric_categories`` values.
 
     Distinct values are counted per column first, so only the columns that become dummies
     send their (few) values to the driver.
@@ -89,10 +87,7 @@ def fit_encoder(
     if free:
         pairs = value_counts(df, free).filter("value IS NOT NULL").select("column", "value")
         sizes = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count("*").alias("n")).collect()}
-        chosen = [c for c in free if types[c] in ("string", "boolean") or sizes.get(c, 0) <= MAX_NUMERIC_CATEGORIES]
-        large = [c for c in chosen if sizes.get(c, 0) > MAX_CATEGORIES]
-        if large:
-            raise ValueError(f"too many categories to encode: {large}")
+        chosen = [c for c in free if types[c] in ("string", "boolean") or sizes.get(c, 0) <= numeric_categories]
         encoder.numeric += [c for c in free if c not in chosen]
         values: dict[str, list[str]] = {c: [] for c in chosen}
         for r in pairs.filter(F.col("column").isin(chosen)).collect():

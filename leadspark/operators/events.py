@@ -21,7 +21,7 @@ def enrich_with_captures(leads: DataFrame, captures: DataFrame, now: int, time:
 
     ``captures`` holds one row per e-mail. Names come from the survey, else the capture's
     own first and last name, else its full name. A lead without capture gets an event id
-    made of ``now`` and its e-mail; a missing decile is 1.
+    made of ``now`` and a hash of its e-mail; a missing decile is 1.
     """
     fields = [f for f in (*CAPTURE_FIELDS, "first_name", "last_name", "name") if f in captures.columns]
     table = captures.select("email", F.struct(*fields).alias("_c"))
@@ -31,7 +31,7 @@ def enrich_with_captures(leads: DataFrame, captures: DataFrame, now: int, time:
     own = blank_to_null(cap("first_name"))
     first = F.when(full.isNotNull(), ct.first_name(full)).when(own.isNotNull(), own).otherwise(ct.first_name(cap("name")))
     last = F.when(full.isNotNull(), ct.last_name(full)).when(own.isNotNull(), cap("last_name")).otherwise(ct.last_name(cap("name")))
-    made = F.concat(F.lit(f"lead_{now}_"), F.substr("email", F.lit(1), F.lit(8)))
+    made = F.concat(F.lit(f"lead_{now}_"), F.substr(F.sha2("email", 256), F.lit(1), F.lit(16)))
     out = df.withColumn("first_name", first).withColumn("last_name", last)
     for f in CAPTURE_FIELDS:
         out = out.withColumn(f, F.coalesce(cap(f), made) if f == "event_id" else cap(f))

@@ -1,8 +1,7 @@
 """Join helpers shared by the operators.
 
 No operator broadcasts a side whose size grows with the data on faith: joins are plain
-equi joins that adaptive execution may turn into broadcasts from measured sizes, and
-:func:`sized_broadcast` counts before it hints.
+equi joins that adaptive execution may turn into broadcasts from measured sizes.
 """
 
 from __future__ import annotations
@@ -10,23 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
 # Columns that tell rows apart and are cheap to read, in order of preference.
 ROW_IDS = ("lead_id", "row_id", "sale_id", "event_id", "id", "captured_at", "created_at", "sale_date")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table itself, or, if it has at most ``max_rows`` rows, a broadcast copy.
-
-    A broadcast passes through the driver anyway; fetching the bounded table here proves
-    its size and spares computing it a second time for the join.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def spread_key(df: DataFrame, key: str) -> Column:
     """``key``, with nulls replaced by row hashes that match nothing.
 

@@ -1,23 +1,24 @@
 """Exact order statistics and running totals over one numeric column, without ever
 sorting the column in a single task.
 
-Quantiles: a sketch brackets each wanted rank, one aggregate counts what lies below the
-brackets, and only values inside them are looked at one by one. Equal values collapse to
-one row first, so ties cost nothing.
+Quantiles: a sketch brackets each wanted rank, one aggregate counts what lies below and at
+the ends of the brackets, and the few thousandths of the values strictly between are
+bracketed again until few enough to look at. Most columns take three passes, very long ones
+two more; ties lie at the ends and cost nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COLLECT_LIMIT = 100_000
+#: Accuracy of a sketch, and the values between two ends that are looked at one by one.
 ACCURACY = 10_000
-BUCKETS = 256
 
 
 def _numbers(df: DataFrame, column: str) -> DataFrame:
@@ -28,70 +29,86 @@ def _numbers(df: DataFrame, column: str) -> DataFrame:
     return df.filter(kept).select(x.alias("x"))
 
 
-def _pick(counts: list[tuple], ranks: Sequence[int], below: int = 0) -> dict[int, object]:
-    found, seen, wanted = {}, below, sorted(ranks)
-    for value, count in sorted(counts):
-        while wanted and wanted[0] < seen + count:
-            found[wanted.pop(0)] = value
-        seen += count
-    return found
+@dataclass
+class _Bracket:
+    """Values strictly between ``low`` and ``high`` (None: open end), of which ``below`` are smaller."""
+
+    rank: int
+    below: int
+    size: int
+    low: object = None
+    high: object = None
 
+    def inside(self) -> Column:
+        x, test = F.col("x"), F.lit(True)
+        test = test if self.low is None else test & (x > F.lit(self.low))
+        return test if self.high is None else test & (x < F.lit(self.high))
 
-def _value_counts(values: DataFrame, limit: int) -> list[tuple] | None:
-    rows = values.groupBy("x").count().limit(limit + 1).collect()
-    return None if len(rows) > limit else [(r["x"], r["count"]) for r in rows]
+    def sketch(self) -> Column:
+        at = (self.rank - self.below + 0.5) / self.size
+        probs = [min(max(at + d, 0.0), 1.0) for d in (-2.0 / ACCURACY, 2.0 / ACCURACY)]
+        return F.percentile_approx(F.when(self.inside(), F.col("x")), probs, ACCURACY)
 
 
-def _select(values: DataFrame, n: int, ranks: Sequence[int], limit: int) -> dict[int, object]:
-    if n <= limit:
-        return _pick(_value_counts(values, limit), ranks)
-    ranks = sorted(set(ranks))
-    slack = 2.0 / ACCURACY
-    probs = [min(max(r / n + d, 0.0), 1.0) for r in ranks for d in (-slack, slack)]
-    sketch = values.agg(F.percentile_approx("x", probs, ACCURACY)).first()[0]
+def _narrow(values: DataFrame, open_: list[_Bracket], ends: list, found: dict) -> list[_Bracket]:
+    """Count at the ends of each bracket's sketch; ranks at an end are found, the others keep one side."""
     x, checks = F.col("x"), []
-    for i in range(len(ranks)):
-        checks += [F.count_if(x < sketch[2 * i]), F.count_if(x <= sketch[2 * i + 1])]
+    for low, high in ends:
+        checks += [F.count_if(x < low), F.count_if(x <= low), F.count_if(x < high), F.count_if(x <= high)]
     counted = list(values.agg(*checks).first())
-    found: dict[int, object] = {}
-    for i, rank in enumerate(ranks):
-        low, high = sketch[2 * i], sketch[2 * i + 1]
-        below, upto = counted[2 * i], counted[2 * i + 1]
-        inside = (x >= low) & (x <= high)
-        if rank < below:  # the sketch erred; the exact counts tell on which side to look
-            inside, below, upto = x < low, 0, below
-        elif rank >= upto:
-            inside, below, upto = x > high, upto, n
-        elif low == high:
-            found[rank] = low
-            continue
-        part = values.filter(inside)
-        counts = _value_counts(part, limit)
-        if counts is not None:
-            found.update(_pick(counts, [rank], below))
+    left = []
+    for i, (b, (low, high)) in enumerate(zip(open_, ends, strict=True)):
+        under, low_end, before, high_end = counted[4 * i : 4 * i + 4]
+        if under <= b.rank < low_end:
+            found[b.rank] = low
+        elif before <= b.rank < high_end:
+            found[b.rank] = high
+        elif b.rank < under:  # the sketch erred; the exact counts tell on which side to look
+            left.append(_Bracket(b.rank, b.below, under - b.below, b.low, low))
+        elif b.rank < before:
+            left.append(_Bracket(b.rank, low_end, before - low_end, low, high))
         else:
-            deeper = _select(part, upto - below, [rank - below], limit)
-            found[rank] = deeper[rank - below]
+            left.append(_Bracket(b.rank, high_end, b.below + b.size - high_end, high, b.high))
+    return left
+
+
+def _look(values: DataFrame, few: list[_Bracket], found: dict) -> None:
+    """The values of small brackets, each with its count, in one pass."""
+    if not few:
+        return
+    marks = F.array_compact(F.array(*(F.when(b.inside(), F.lit(i)) for i, b in enumerate(few))))
+    counts = values.select("x", F.explode(marks).alias("i")).groupBy("i", "x").count().collect()
+    for i, b in enumerate(few):
+        seen = b.below
+        for value, count in sorted((r["x"], r["count"]) for r in counts if r["i"] == i):
+            seen += count
+            if b.rank < seen:
+                found[b.rank] = value
+                break
+
+
+def _select(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[int, object]:
+    found: dict[int, object] = {}
+    open_ = [_Bracket(r, 0, n) for r in sorted(set(ranks))]
+    while open_:
+        sketches = list(values.agg(*(b.sketch() for b in open_)).first())
+        open_ = _narrow(values, open_, [tuple(s) for s in sketches], found)
+        _look(values, [b for b in open_ if b.size <= ACCURACY], found)
+        open_ = [b for b in open_ if b.size > ACCURACY]
     return found
 
 
-def order_statistics(
-    df: DataFrame, column: str, ranks_of: Callable[[int], Sequence[int]], limit: int = COLLECT_LIMIT
-) -> tuple[int, dict[int, object]]:
+def order_statistics(df: DataFrame, column: str, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, object]]:
     """``(n, {rank: value})`` for 0-based ranks among the non-null values of ``column``."""
     values = _numbers(df, column)
     n = values.count()
-    return n, (_select(values, n, list(ranks_of(n)), limit) if n else {})
+    return n, (_select(values, n, list(ranks_of(n))) if n else {})
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], limit: int = COLLECT_LIMIT
-) -> list[float]:
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
     """Quantiles with linear interpolation between neighbours; empty for an empty column."""
     spots = lambda n: [(n - 1) * p for p in probs]
-    n, values = order_statistics(
-        df, column, lambda n: [k for h in spots(n) for k in (math.floor(h), math.ceil(h))], limit
-    )
+    n, values = order_statistics(df, column, lambda n: [k for h in spots(n) for k in (math.floor(h), math.ceil(h))])
     if not n:
         return []
     out = []
@@ -105,9 +122,9 @@ def running_totals(df: DataFrame, column: str, measures: dict[str, str]) -> Data
     """Per distinct value of ``column``: the summed measures and ``<name>_before``, their
     total over all smaller values.
 
-    A fixed number of value ranges is totalled first; the offsets of the ranges are a
-    table of at most ``BUCKETS`` rows, and the running sum within a range is a window
-    partitioned by range.
+    Value ranges are totalled first, as many as the root of the number of distinct values:
+    so ranges, and values in a range, both grow slowly. Running sums over the ranges and
+    within each range add up.
     """
     totals = (
         df.filter(F.col(column).isNotNull())
@@ -115,8 +132,9 @@ def running_totals(df: DataFrame, column: str, measures: dict[str, str]) -> Data
         .groupBy(column)
         .agg(*[F.sum(F.expr(expr)).alias(name) for name, expr in measures.items()])
     )
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", probs, 0.001)
+    ranges = max(1, math.isqrt(totals.agg(F.approx_count_distinct(column)).first()[0]))
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = totals.approxQuantile(column, probs, 1 / (4 * ranges)) if probs else []
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     ranged = Bucketizer(splits=splits, inputCol=column, outputCol="__range").transform(totals)
     upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,7 +144,7 @@ def running_totals(df: DataFrame, column: str, measures: dict[str, str]) -> Data
         .select("__range", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(f"__{m}") for m in measures])
     )
     within = Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(offsets), "__range")  # at most BUCKETS rows
+    joined = ranged.join(offsets, "__range")
     return joined.select(
         column,
         *measures,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import utm as u
 from ..functions.text import comparison_form
-from .joins import left_lookup, sized_broadcast
+from .joins import left_lookup
 
 
 def unify_source(df: DataFrame, column: str = "source", training: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def common_spellings(df: DataFrame, column: str) -> DataFrame:
 
 def _replace(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """Values replaced by ``table(__value, __new)``, where it has them."""
-    return left_lookup(df, sized_broadcast(table), column, "__value").withColumn(column, F.coalesce("__new", column)).drop("__new")
+    return left_lookup(df, table, column, "__value").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
 def merge_spellings(df: DataFrame, column: str) -> DataFrame:
@@ -75,7 +75,7 @@ def map_categories(
     if valid is not None:
         kept = valid.select(F.col("category").alias("value"), "category")
         table = table.unionByName(kept.join(table.select("value"), "value", "left_anti"))
-    table = sized_broadcast(table.dropDuplicates(["value"])).withColumnsRenamed(
+    table = table.dropDuplicates(["value"]).withColumnsRenamed(
         {"value": "__value", "category": "__category"}
     )
     cleaned = df.withColumn(column, F.when(F.lower(column) != "nan", F.col(column)))
@@ -119,7 +119,7 @@ def consolidate_campaigns(df: DataFrame, column: str = "campaign", to: str = "ca
     # ids shorter than the full 18 digits are cut ones, so the prefix decides for them
     whole = F.when(F.length("id") >= 18, F.col("by_id"))
     table = names.select(name.alias("__name"), F.coalesce(whole, "by_prefix", "by_base", "name").alias(to))
-    return left_lookup(df, sized_broadcast(table), column, "__name")
+    return left_lookup(df, table, column, "__name")
 
 
 def classify(df: DataFrame, column: str = "campaign", settings: Settings = DEFAULTS) -> DataFrame:

@@ -68,15 +68,17 @@ class Tables:
 
     @cached_property
     def sales(self) -> DataFrame:
+        # pending orders are no sales; customers of small balance buy under contacts of their own
         o = self.read("orders").filter("o_orderstatus <> 'P'")
-        c = self.read("customer").filter("c_custkey % 3 = 0")
+        c = self.read("customer")
+        own = F.col("c_acctbal") >= 5500
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 60).cast("int"))
         return (
             o.join(c, F.col("o_custkey") == F.col("c_custkey"))
             .select(
                 F.col("o_orderkey").alias("sale_id"),
-                F.concat(F.lower("c_name"), F.lit("@mail.com")).alias("email_raw"),
-                F.concat(F.lit("119"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone_raw"),
+                F.when(own, F.concat(F.lower("c_name"), F.lit("@mail.com"))).otherwise(F.concat(F.lit("buyer"), "c_custkey", F.lit("@shop.com"))).alias("email_raw"),
+                F.concat(F.when(own, "119").otherwise("219"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone_raw"),
                 F.col("o_totalprice").alias("sale_value"), day.alias("sale_date"),
                 F.when(F.col("o_orderstatus") == "F", "guru").otherwise("tmb").alias("sale_origin"),
                 F.col("o_orderpriority").alias("product"),
@@ -260,13 +262,14 @@ leads_raw AS (
 leads AS (SELECT *, {email_sql('email_raw')} AS email, {phone_sql('phone_raw')} AS phone,
                  CASE WHEN campaign LIKE '%| ML |%' THEN 'COM_ML' ELSE 'SEM_ML' END AS ml_type FROM leads_raw),
 sales_raw AS (
-  SELECT o.o_orderkey AS sale_id, concat(lower(c.c_name), '@mail.com') AS email_raw,
-         concat('119', lpad(CAST(c.c_custkey AS VARCHAR), 8, '0')) AS phone_raw,
+  SELECT o.o_orderkey AS sale_id,
+         CASE WHEN c.c_acctbal >= 5500 THEN concat(lower(c.c_name), '@mail.com') ELSE concat('buyer', c.c_custkey, '@shop.com') END AS email_raw,
+         concat(CASE WHEN c.c_acctbal >= 5500 THEN '119' ELSE '219' END, lpad(CAST(c.c_custkey AS VARCHAR), 8, '0')) AS phone_raw,
          o.o_totalprice AS sale_value, DATE '2024-01-01' + CAST(o.o_orderkey % 60 AS INT) AS sale_date,
          CASE WHEN o.o_orderstatus = 'F' THEN 'guru' ELSE 'tmb' END AS sale_origin,
          o.o_orderpriority AS product
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderstatus <> 'P' AND c.c_custkey % 3 = 0),
+  WHERE o.o_orderstatus <> 'P'),
 sales AS (SELECT *, {email_sql('email_raw')} AS email, {phone_sql('phone_raw')} AS phone FROM sales_raw),
 ad_costs AS (
   SELECT concat('1202', lpad(CAST(s.s_nationkey AS VARCHAR), 14, '0')) AS campaign_id,

@@ -75,7 +75,7 @@ def rf_metrics(t):
 
 _EVENTS = """caps AS (SELECT email, arg_min(id, (NOT coalesce(first_name <> '', false), id)) AS id FROM captures WHERE email IS NOT NULL GROUP BY email),
 c AS (SELECT captures.* FROM captures JOIN caps USING (id)),
-enriched AS (SELECT s.email, s.phone, s.decile, s.lead_score, coalesce(c.event_id, 'lead_1706659200_' || substr(s.email, 1, 8)) AS event_id,
+enriched AS (SELECT s.email, s.phone, s.decile, s.lead_score, coalesce(c.event_id, 'lead_1706659200_' || substr(sha256(s.email), 1, 16)) AS event_id,
     s.name AS first_name, c.fbp, c.fbc FROM scored s LEFT JOIN c ON s.email = c.email WHERE s.email IS NOT NULL)"""
 _RATES = " ".join(f"WHEN {k} THEN {r}::DOUBLE" for k, r in zip(DECILES, CORRECTED_RATES))
 

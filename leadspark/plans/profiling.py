@@ -148,10 +148,13 @@ def launch_periods(t):
 @query(
     "sales_combined",
     sql("""SELECT email, sale_date, sale_origin, sale_value FROM (
-  SELECT *, row_number() OVER (PARTITION BY email, sale_date ORDER BY CASE sale_origin WHEN 'guru' THEN 0 ELSE 1 END, sale_value DESC) AS rn FROM sales) WHERE rn = 1"""),
+  SELECT *, row_number() OVER (PARTITION BY email, sale_date ORDER BY CASE sale_origin WHEN 'guru' THEN 0 ELSE 1 END, sale_value DESC NULLS LAST) AS rn
+  FROM (SELECT * REPLACE (CASE WHEN sale_id % 4 <> 1 THEN sale_value END AS sale_value) FROM sales)) WHERE rn = 1"""),
 )
 def sales_combined(t):
-    a, b = t.sales.filter("sale_origin = 'guru'"), t.sales.filter("sale_origin = 'tmb'")
+    """Every fourth sale or so has an unreadable price."""
+    sales = t.sales.withColumn("sale_value", F.when(F.col("sale_id") % 4 != 1, F.col("sale_value")))
+    a, b = sales.filter("sale_origin = 'guru'"), sales.filter("sale_origin = 'tmb'")
     return sal.combine_sales(a, b).select("email", "sale_date", "sale_origin", "sale_value")
 
 

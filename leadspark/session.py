@@ -24,11 +24,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set."""
+    """The cluster's shared checkpoint folder; a private one only on one machine where none is set."""
     context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir", None
     )
     if context.getCheckpointDir() is None:
+        if not current and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(current or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return current or context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data through the file system that Spark wrote it with."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -117,13 +117,13 @@ def by_emails(captures: DataFrame, emails: DataFrame) -> DataFrame:
 
 
 def most_recent(captures: DataFrame, n: int, start: str | None = None, end: str | None = None, time: str = "created_at", tie: str = "id") -> DataFrame:
-    """The newest ``n`` captures (10 000 at most), optionally of a period."""
+    """The newest ``n`` captures, optionally of a period."""
     df = captures
     if start:
         df = df.filter(F.col(time) >= F.lit(start).cast("date"))
     if end:
         df = df.filter(F.col(time) < F.date_add(F.lit(end).cast("date"), 1))
-    return df.orderBy(F.desc(time), F.desc(tie)).limit(min(n, 10_000))
+    return df.orderBy(F.desc(time), F.desc(tie)).limit(n)
 
 
 def last_seven_days(captures: DataFrame, as_of: str, time: str = "created_at") -> DataFrame:
@@ -150,8 +150,6 @@ def email_campaign_ids(captures: DataFrame, campaign: str = "utm_campaign", time
     )
 
 
-def without_ids(df: DataFrame, ids: DataFrame, column: str = "id", limit: int = 5000) -> DataFrame:
-    """Rows whose id is not listed; the list is checked to be at most ``limit`` long."""
-    if len(ids.select(column).take(limit + 1)) > limit:
-        raise ValueError(f"more than {limit} ids to delete")
-    return df.join(F.broadcast(ids.select(column)), column, "left_anti")
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose id is not listed."""
+    return df.join(ids.select(column), column, "left_anti")

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.contact import email_key, phone_key
 from ..functions.dates import parse_timestamp
 from ..functions.text import decimal_comma, strip
-from ..operators.joins import first_per_key
+from ..operators.joins import first_per_key, nulls_last
 from ..schemas import SALES, conform
 
 
+# Columns that decide between sales of one vendor, e-mail, date and value.
+TIES = ("product", "name", "phone", "utm_campaign", "sale_id")
+
+
 def _first(df: DataFrame, *names: str) -> Column:
     """The first of the columns that exists, as text."""
     name = next((n for n in names if n in df.columns), None)
@@ -55,9 +59,12 @@ def vendor_b_sales(raw: DataFrame) -> DataFrame:
 
 
 def combine_sales(*vendors: DataFrame) -> DataFrame:
-    """Union with one sale per (e-mail, date): vendor A first, then the larger value."""
+    """Union with one sale per (e-mail, date): vendor A first, then the larger value.
+
+    A sale without a readable value comes after those with one; ties go by the columns ``TIES``.
+    """
     from ..sources.tables import union_all
 
     df = union_all(list(vendors))
-    order = [F.col("sale_origin") != "guru", -F.col("sale_value"), F.xxhash64(*df.columns)]
+    order = [F.col("sale_origin") != "guru", *nulls_last(-F.col("sale_value")), *(x for c in TIES if c in df.columns for x in nulls_last(F.col(c)))]
     return first_per_key(df, ["email", "sale_date"], order)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import sized_broadcast
 
 FORMATS = {"csv": {"header": "true", "multiLine": "true", "escape": '"'}, "json": {}, "parquet": {}}
 
@@ -83,7 +82,7 @@ def table_report(
 
 
 def select_tables(df: DataFrame, report: DataFrame, file: str = "arquivo_origem", sheet: str = "aba_origem") -> DataFrame:
-    return df.join(sized_broadcast(report.filter("kept").select(file, sheet)), [file, sheet], "left_semi")
+    return df.join(report.filter("kept").select(file, sheet), [file, sheet], "left_semi")
 
 
 def consolidate(tables: dict[tuple[str, str], DataFrame], survey_terms: list[str], sales_terms: list[str]) -> dict[str, DataFrame]:

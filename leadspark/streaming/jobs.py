@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.deciles import by_thresholds
 from ..operators.events import conversion_events, enrich_with_captures, payload
-from ..operators.joins import first_per_key, sized_broadcast
+from ..operators.joins import first_per_key
 from ..operators.model import LeadScorer
 
 WATERMARK = "1 day"
@@ -61,7 +61,7 @@ def send_once(leads: DataFrame, sent_path: str, out_path: str, checkpoint: str,
         fresh = first_per_key(batch.filter("email IS NOT NULL"), ["email"], [F.col(order), F.col(tie)]).persist()
         sent = batch.sparkSession.read.parquet(sent_path).filter(F.col("batch_id") < batch_id)
         # the growing table is only scanned: it meets the batch's few e-mails first
-        known = sent.select("email").join(sized_broadcast(fresh.select("email")), "email", "left_semi")
+        known = sent.select("email").join(fresh.select("email"), "email", "left_semi")
         fresh.join(known, "email", "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         # what was passed on is read back from the output, so both tables always agree
         passed = batch.sparkSession.read.schema(leads.schema).parquet(f"{out_path}/batch_id={batch_id}")

@@ -12,9 +12,10 @@ from leadspark.config import Settings
 from leadspark.operators import components, controls, costs, deciles, fuzzy, link, quantiles, splits
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
+@pytest.mark.parametrize("accuracy", [20, 10_000])
 @pytest.mark.parametrize("kind", ["ties", "spread", "hot"])
-def test_quantiles_equal_numpy(spark, limit, kind):
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy, kind):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     rng = np.random.default_rng(5)
     values = {
         "ties": rng.integers(0, 40, 1003) / 40, "spread": rng.random(1003),
@@ -22,7 +23,7 @@ def test_quantiles_equal_numpy(spark, limit, kind):
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
     probs = [k / 10 for k in range(11)]
-    got = quantiles.exact_quantiles(df, "x", probs, limit)
+    got = quantiles.exact_quantiles(df, "x", probs)
     assert got == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
 
 

@@ -112,8 +112,10 @@ def test_capture_lookups(spark):
     assert leads.last_seven_days(c, "2025-11-10").count() == 2
     gone = spark.createDataFrame([(1,), (2,)], "id long")
     assert leads.without_ids(c, gone).count() == 2
-    with pytest.raises(ValueError):
-        leads.without_ids(c, gone, limit=1)
+    many = spark.range(20_000).selectExpr("id", "timestamp_seconds(id) AS created_at")
+    newest = leads.most_recent(many, 15_000)
+    assert newest.count() == 15_000 and newest.agg({"id": "min"}).first()[0] == 5_000
+    assert leads.without_ids(many, spark.range(6_000)).count() == 14_000
     stats = profile.capture_stats(c).first()
     assert (stats["total"], stats["distinct_email"], stats["with_fbp"], stats["with_fbc"], stats["with_all"]) == (4, 3, 2, 2, 1)
 
