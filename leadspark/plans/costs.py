@@ -220,7 +220,18 @@ def utm_window_totals(t):
     return rep.window_totals(ops.trailing(t.leads_utm, "captured_at", AS_OF))
 
 
-@query("fuzzy_residue")
+# A name with " v2" shares all its characters with its origin: the ratio is 2 n / (2 n + 3).
+_RESIDUE = f"""per_ad AS (SELECT campaign_id, adset_id, ad_id, min(ad_name) AS ad_name, sum(spend) AS spend FROM ads GROUP BY 1, 2, 3),
+names AS (SELECT ad_name, arg_min(spend, (campaign_id, adset_id, ad_id)) AS spend, 2.0 * length(ad_name) / (2 * length(ad_name) + 3) >= {DEFAULTS.ad_similarity} AS near FROM per_ad GROUP BY 1),
+altered AS (SELECT DISTINCT ad_name, ad_id % 3 AS kind FROM ads)"""
+
+
+@query(
+    "fuzzy_residue",
+    sql("""SELECT CASE kind WHEN 0 THEN ad_name WHEN 1 THEN ad_name || ' v2' ELSE reverse(ad_name) END AS value,
+  CASE WHEN kind = 0 OR kind = 1 AND near THEN spend ELSE 0.0 END AS spend, CASE WHEN kind = 0 THEN 'name' WHEN kind = 1 AND near THEN 'similar' END AS matched_by
+FROM altered JOIN names USING (ad_name)""", _RESIDUE),
+)
 def fuzzy_residue(t):
     """Spend of altered ad names: some equal, some only similar, some unknown."""
     key = F.col("ad_id")
@@ -229,19 +240,32 @@ def fuzzy_residue(t):
     return ops.spend_of_ad_values(values, t.ads, DEFAULTS.ad_similarity).select("value", "spend", "matched_by")
 
 
-@query("fuzzy_campaign_values")
+_NAMED = """per_name AS (SELECT campaign_id, ad_name, sum(spend) AS spend, (length(ad_name) + CAST(right(campaign_id, 2) AS INT)) % 3 AS kind FROM ads GROUP BY 1, 2),
+per_campaign AS (SELECT campaign_id, sum(spend) AS total, bool_and(has_campaign_budget) AS has_campaign_budget FROM ads GROUP BY 1)"""
+
+
+@query(
+    "fuzzy_campaign_values",
+    sql("""SELECT 'DEMO | CAP | FRIO | FASE 01 | ' || CASE kind WHEN 0 THEN upper(ad_name) WHEN 1 THEN ad_name || 's' ELSE reverse(ad_name) END || ' | PG2 | 2024-01-15|' || campaign_id AS value,
+  CASE WHEN kind < 2 THEN spend ELSE total END AS spend, has_campaign_budget, CASE WHEN kind < 2 THEN 'adset' ELSE 'campaign' END AS matched_by
+FROM per_name JOIN per_campaign USING (campaign_id)""", _NAMED),
+)
 def fuzzy_campaign_values(t):
     """Campaign UTM values to the adset they name, exactly or similarly, else the campaign.
 
-    Part names stand for adset names; a third of the values is spelt differently."""
+    Part names stand for adset names; a third of the values is spelt differently, a third backwards."""
     ads = t.ads.withColumn("adset_name", F.col("ad_name")).withColumn("adset_id", F.col("ad_name"))
-    kind = F.pmod(F.xxhash64("campaign_id", "ad_name"), F.lit(3))
+    kind = (F.length("ad_name") + F.right("campaign_id", F.lit(2)).cast("int")) % 3
     named = F.when(kind == 0, F.upper("ad_name")).when(kind == 1, F.concat("ad_name", F.lit("s"))).otherwise(F.reverse("ad_name"))
     text = F.concat(F.lit("DEMO | CAP | FRIO | FASE 01 | "), named, F.lit(" | PG2 | 2024-01-15|"), "campaign_id")
     return ops.spend_of_campaign_values(ads.select(text.alias("value")).distinct(), ads)
 
 
-@query("fuzzy_name_values")
+@query(
+    "fuzzy_name_values",
+    sql("""SELECT campaign_name || '|42' AS value, sum(spend) AS spend, 'similar' AS matched_by FROM ads GROUP BY campaign_name
+UNION ALL SELECT campaign_name, sum(spend), 'name' FROM ads GROUP BY campaign_name"""),
+)
 def fuzzy_name_values(t):
     """Spend of campaign-level values by id, by name, by similar name."""
     nations = t.ads.select(F.concat("campaign_name", F.lit("|42")).alias("value")).union(t.ads.select("campaign_name")).distinct()
