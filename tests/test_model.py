@@ -55,8 +55,9 @@ def test_encoder(spark):
     assert fitted.transform(df.drop("kind")).filter("kind_a = 0").count() == 3
     assert encode.Encoder.from_json(fitted.to_json()) == fitted
     assert encode.encoding_report(out, fitted.contract) == {"missing": [], "extra": ["target"]}
-    with pytest.raises(ValueError):
-        encode.fit_encoder(spark.range(600).select(F.col("id").cast("string").alias("x")))
+    assert len(encode.fit_encoder(spark.range(600).select(F.col("id").cast("string").alias("x"))).dummies) == 600
+    few = spark.range(30).select((F.col("id") % 15).alias("n"))
+    assert encode.fit_encoder(few, numeric_categories=10).numeric == ["n"] and len(encode.fit_encoder(few).dummies) == 15
     groups = encode.feature_categories(["Source_x", "Qual_a_sua_idade", "nome_valido_True", "zzz"])
     assert [len(groups[g]) for g in ("utm", "survey", "derived", "other")] == [1, 1, 1, 1]
 
@@ -129,12 +130,13 @@ def test_conversion_events(spark):
     captured = spark.createDataFrame([("b@x.co", "ev9", "Bea", None, "fb")], "email string, event_id string, first_name string, last_name string, fbp string")
     rich = events.enrich_with_captures(leads, captured, 99)
     out = {r["event"]["event_id"]: r["event"] for r in events.conversion_events(rich, ("genero",)).collect()}
-    assert set(out) == {"qualified_lead_99_a@x.co", "hq_lead_99_a@x.co", "qualified_ev9"}
-    ana, bea = out["qualified_lead_99_a@x.co"], out["qualified_ev9"]
+    made = "lead_99_725e56191cbb9c10"  # by the hash of the e-mail
+    assert set(out) == {f"qualified_{made}", f"hq_{made}", "qualified_ev9"}
+    ana, bea = out[f"qualified_{made}"], out["qualified_ev9"]
     assert ana["custom_data"]["value"] == pytest.approx(69.102) and ana["event_time"] == 1735689600
     assert ana["custom_data"]["custom_properties"] == {"lead_score": "0.9", "decil": "D10", "taxa_conversao": "0.034551", "genero": "Feminino"}
     assert bea["custom_data"]["value"] == pytest.approx(7.672) and bea["event_time"] == 99 and "genero" not in bea["custom_data"]["custom_properties"]
-    assert out["hq_lead_99_a@x.co"]["custom_data"]["value"] is None and ana["user_data"]["ge"] == "f" and bea["user_data"]["country"] is None
+    assert out[f"hq_{made}"]["custom_data"]["value"] is None and ana["user_data"]["ge"] == "f" and bea["user_data"]["country"] is None
     import hashlib
 
     assert bea["user_data"]["fn"] == hashlib.sha256(b"bea").hexdigest() and ana["user_data"]["ln"] == hashlib.sha256(b"lima").hexdigest()
