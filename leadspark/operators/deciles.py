@@ -194,7 +194,3 @@ def decile_shares(label: str = "decile") -> list:
 
 def share_columns() -> list:
     return [F.col(f"pct_d{k}") / 100.0 for k in DECILES]
-
-
-def total_share():
-    return reduce(lambda a, b: a + b, [F.col(f"pct_d{k}") for k in DECILES])

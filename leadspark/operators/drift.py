@@ -98,7 +98,3 @@ def person_keys(email: str = "email", phone: str = "phone") -> dict[str, Column]
     e, p = F.col(email), F.col(phone)
     tagged = F.concat_ws(",", F.concat(F.lit("e:"), e), F.concat(F.lit("t:"), p))
     return {"email": e, "phone": p, "both": tagged}
-
-
-def feature_counts(df: DataFrame, features: list[str]) -> DataFrame:
-    return value_counts(df, features)

@@ -226,10 +226,6 @@ def dedupe_conversions(matched: DataFrame, id_col: str = "lead_id") -> DataFrame
     return kept.unionByName(matched.filter(~F.col("converted")))
 
 
-def person_of(df: DataFrame) -> DataFrame:
-    return df.withColumn("person", F.coalesce("email", "phone"))
-
-
 def tracked_buyers(matched: DataFrame, sales: DataFrame, columns: tuple[str, ...] = ("campaign",), id_col: str = "lead_id") -> DataFrame:
     """Every buyer with the campaign of a converted lead, if any: by e-mail, then phone.
 

@@ -247,9 +247,3 @@ def with_event_counts(campaigns: DataFrame, counts: DataFrame) -> DataFrame:
     measures = [c for c in counts.columns if c != "campaign_id"]
     keyed = campaigns.withColumn("_id", u.campaign_id(F.col("campaign")))
     return left_lookup(keyed, counts, "_id", "campaign_id").drop("_id").na.fill(0.0, measures)
-
-
-def expected_rates(spark, settings: Settings = DEFAULTS) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, r) for k, r in zip(DECILES, settings.rates)], "decile int, expected_rate double"
-    )

@@ -188,10 +188,8 @@ def stream_weekly(t):
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+    writer = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/out")
-    last = out.agg(F.max("batch_id").alias("batch_id"))
-    return out.join(F.broadcast(last), "batch_id").select(  # one row
-        F.col("week.start").cast("date").alias("week"), "leads", "strong"
-    )
+    # a batch has the weeks that it changed; the last one counts
+    out = t.spark.read.parquet(f"{folder}/out").groupBy("week").agg(*(F.max_by(c, "batch_id").alias(c) for c in ("leads", "strong")))
+    return out.select(F.col("week.start").cast("date").alias("week"), "leads", "strong")

@@ -58,13 +58,16 @@ def account_of_file(file_name: Column) -> Column:
 
 def scan_reports(spark: SparkSession, path: str, fmt: str = "csv") -> dict[str, DataFrame]:
     """The kinds of report found under a folder, tagged with file and account, normalised."""
-    files = list_files(spark, path, fmt).select("path", report_kind(F.col("file_name")).alias("kind")).collect()
+    listed = list_files(spark, path, fmt)
+    files = listed.select("path", report_kind(F.col("file_name")).alias("kind")).collect()
+    # once for each file, not for each row
+    accounts = listed.select(F.col("file_name").alias("_source_file"), account_of_file(F.col("file_name")).alias("_account_name")).distinct()
     out = {}
     for kind in REPORT_KINDS:
         paths = sorted(f["path"] for f in files if f["kind"] == kind)
         if paths:
             raw = read_table(spark, paths, fmt).withColumnRenamed("arquivo_origem", "_source_file").drop("aba_origem")
-            out[kind] = normalise_report(raw.withColumn("_account_name", account_of_file(F.col("_source_file"))), kind)
+            out[kind] = normalise_report(raw.join(accounts, "_source_file", "left"), kind)
     return out
 
 
