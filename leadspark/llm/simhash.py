@@ -135,13 +135,15 @@ def fingerprint_components(distinct: DataFrame) -> DataFrame:
     stars = keyed.join(ends, "key").filter(((F.col("fp") != F.col("low")) & _near("fp", "low")) | ((F.col("fp") != F.col("high")) & _near("fp", "high")))
     link = lambda end: F.when((F.col("fp") != F.col(end)) & _near("fp", end), F.struct("fp", F.col(end).alias("end")))
     links = stars.select(F.explode(F.array_compact(F.array(link("low"), link("high")))).alias("e")).select("e.*").distinct()
-    first = saved(components(links.select(F.col("fp").alias("u"), F.col("end").alias("v"))), "near-stars")
+    links = saved(links, "near-links")
+    first = saved(components(links.select(F.col("fp").alias("u"), F.col("end").alias("v"))), "near-classes")
     classes = distinct.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
-    classes = saved(classes, "near-classes")
+    classes = saved(classes, "near-fingerprints")
     rows = with_keys(classes)
     left, right = rows.toDF("key", "fp", "class"), rows.toDF("key", "fp2", "class2")
     across = left.join(right, (left["key"] == right["key"]) & (F.col("class") < F.col("class2")) & _near("fp", "fp2")).select("class", "class2").distinct()
-    second = saved(components(across.select(F.col("class").alias("u"), F.col("class2").alias("v"))), "near-links")
+    across = saved(across, "near-across")
+    second = saved(components(across.select(F.col("class").alias("u"), F.col("class2").alias("v"))), "near-roots")
     joined = classes.join(second.withColumnRenamed("node", "class"), "class", "left")
     return joined.select("fp", F.coalesce("component", "class").alias("root"))
 
@@ -157,9 +159,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("k_hash"), fingerprints(text_or_empty()).alias("fp"))
     rows = saved(rows, "fingerprints")
     least = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    rooted = least.join(fingerprint_components(least), "fp")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapping = rooted.join(smallest, "root").select("fp", "component_id")
+    rooted = saved(least.join(fingerprint_components(least), "fp"), "near-rooted")
+    # written first, so that the join back deals both sides anew and can split a hot component
+    smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-smallest")
+    mapping = saved(rooted.join(smallest, "root").select("fp", "component_id"), "near-mapping")
     return rows.join(mapping, "fp").select("doc_id", "k_hash", "fp", "component_id")
 
 
