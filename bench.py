@@ -27,7 +27,7 @@ HEADLINE = (
 
 
 def score_leads(spark: SparkSession, sf_dir: str):
-    """Set up a fitted scorer; the returned callable scores all leads."""
+    """Set up a fitted scorer; the returned callable scores all leads. Also their number, and the scorer's quality."""
     from leadspark.operators import encode, model
     from leadspark.plans.bindings import Tables
     from leadspark.plans.model import _model_frames
@@ -36,7 +36,7 @@ def score_leads(spark: SparkSession, sf_dir: str):
 
     t = Tables(spark, sf_dir)
     encoder, train, test = _model_frames(t)
-    scorer, _ = model.train_scorer(train, test, encoder, params={"numTrees": 300, "maxDepth": 8})
+    scorer, held_out = model.train_scorer(train, test, encoder, params={"numTrees": 300, "maxDepth": 8})
     assert isinstance(scorer.encoder, encode.Encoder)
 
     def run():
@@ -45,7 +45,8 @@ def score_leads(spark: SparkSession, sf_dir: str):
         scored = model.predict(scorer.model, scorer.encoder.transform(derived, ("lead_id",)))
         return model.dec.assign_deciles(scored.select("lead_id", "lead_score"), scorer.bands)
 
-    return run, t.leads.agg(F.count("*")).first()[0]
+    quality = model.dec.ranking_metrics(held_out).first()
+    return run, t.leads.agg(F.count("*")).first()[0], {"auc": quality["auc"], "top3_share": quality["top3_share"]}
 
 
 def timed(make) -> float:
@@ -71,9 +72,9 @@ def main() -> None:
     seconds = {name: timed(lambda name=name: queries[name](spark, sf_dir)) for name in names if name != "score_leads"}
     extra = {}
     if "score_leads" in names or not sys.argv[1:]:
-        run, leads = score_leads(spark, sf_dir)
+        run, leads, quality = score_leads(spark, sf_dir)
         seconds["score_leads"] = timed(run)
-        extra = {"leads_scored": leads, "leads_per_second": round(leads / seconds["score_leads"], 1)}
+        extra = {**quality, "leads_scored": leads, "leads_per_second": round(leads / seconds["score_leads"], 1)}
     print(json.dumps({
         "metric": "headline query seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")), **extra,
