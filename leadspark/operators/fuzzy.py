@@ -53,7 +53,7 @@ def _tokens(df: DataFrame, value: str, t: float) -> DataFrame:
 
 def _prefixes(tokens: DataFrame, frequency: DataFrame, value: str) -> DataFrame:
     """The rare end of each string's token list (a string's own tokens, so a small group)."""
-    ranked = tokens.join(frequency, "token")
+    ranked = tokens.join(frequency, ["grp", "token"])
     lists = ranked.groupBy("grp", value, "needed", F.substr("token", F.lit(1), F.lit(1)).alias("kind")).agg(
         F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all")
     )
@@ -67,15 +67,17 @@ def similar_pairs(
 ) -> DataFrame:
     """Every pair of distinct values with ``ratio >= threshold``: ``[within,] left, right, ratio``.
 
-    With ``within`` only values of the same group are compared.
+    With ``within`` only values of the same group are compared. The threshold must be 0.7 or
+    more: below, shared pairs are no longer guaranteed for names of usual length.
     """
-    if threshold < 0.7:  # below, shared pairs are no longer guaranteed for names of usual length
+    if threshold < 0.7:
         raise ValueError("threshold must be at least 0.7")
     group = F.lit("") if within is None else F.col(within).cast("string")
     a = left.select(group.alias("grp"), F.col(left_col).alias("a")).filter("a IS NOT NULL").distinct()
     b = right.select(group.alias("grp"), F.col(right_col).alias("b")).filter("b IS NOT NULL").distinct()
     ta, tb = _tokens(a, "a", threshold), _tokens(b, "b", threshold)
-    frequency = ta.select("token").unionByName(tb.select("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # rare within the group: other groups are not compared with
+    frequency = ta.select("grp", "token").unionByName(tb.select("grp", "token")).groupBy("grp", "token").agg(F.count("*").alias("n"))
     la, lb = F.length("a"), F.length("b")
     close = (F.least(la, lb) * 2.0 / (la + lb)) >= F.lit(threshold - 1e-12)
     pairs = (
