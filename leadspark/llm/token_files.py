@@ -22,7 +22,7 @@ from .tokens import encoder
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("block", T.LongType()), T.StructField("block_start", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+    T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
@@ -44,7 +44,7 @@ def _encode(tokenizer: str, end_id: int):
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + n], pa.array(np.full(n, block, np.int64)), pa.array(before + offsets[:-1]), ids],
+                    [batch.column(0)[at : at + n], pa.array(np.full(n, block, np.int64)), pa.array(before + offsets[:-1]), pa.array(sizes), ids],
                     names=SCHEMA.names,
                 )
                 before += int(offsets[-1])
@@ -53,11 +53,11 @@ def _encode(tokenizer: str, end_id: int):
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Write ``doc_id, block, block_start, ids`` as ORC files under ``path``.
+    """Write ``doc_id, block, block_start, n, ids`` as ORC files under ``path``.
 
     Rows go out by doc_id (nulls first; equal ids by text hash), dealt by ranges and sorted
-    within each; ``block`` numbers the files in that order and ``block_start`` counts the ids
-    before a document in its file. A null text is empty: its ids are ``end_id`` alone.
+    within each; ``block`` numbers the files in that order ``block_start`` counts the ids
+    before a document in its file and ``n`` its own. A null text is empty: its ids are ``end_id`` alone.
     Repeated rows are all written; an empty table gives a readable folder without rows. Other
     columns are not read.
     """
@@ -75,8 +75,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all documents before, by the files' totals and the place in the file."""
-    blocks = rows.groupBy("block").agg(F.sum(F.size("ids")).cast("long").alias("total"))
+    """Add ``start``: the ids of all documents before, by the files' totals of ``n`` and the place in the file; the ids are not read."""
+    blocks = rows.groupBy("block").agg(F.sum("n").alias("total"))
     # a row per file
     before = blocks.select("block", F.coalesce(F.sum("total").over(W.Window.orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(before, "block").withColumn("start", F.col("before") + F.col("block_start")).drop("before")

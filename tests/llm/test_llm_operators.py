@@ -246,6 +246,21 @@ def test_token_files(spark, documents):
         start += len(ids)
 
 
+def test_token_files_of_several_ranges(spark, documents, monkeypatch, tmp_path):
+    """Starts go on over all files, as many as there are."""
+    frames = type(spark.range(1))
+    ranges = frames.repartitionByRange
+    monkeypatch.setattr(frames, "repartitionByRange", lambda df, *keys: ranges(df, 5, *keys))
+    monkeypatch.setattr(queries, "folder", lambda *_: str(tmp_path / "ids"))
+    rows = sorted(queries.op8_token_files(spark, SF).collect())
+    assert sum(f.endswith(".orc") for f in os.listdir(tmp_path / "ids")) >= 4
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id for r in rows] == sorted(documents)
+
+
 def test_token_files_prune(spark, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write_ids(common.table(spark, SF, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
