@@ -6,9 +6,10 @@ escape is coded (its probability by the number of different followers) and the n
 context is tried without the bytes already excluded, down to a uniform choice. As the trie
 is fixed after training, all positions of many texts are looked up at once.
 
-What goes to the tasks is bounded whatever the corpus: n-grams of three bytes and more, and
-words, are kept there if they make up at least the 2**-21 part of all, so at most 2**21 of
-each length can be. Rarer n-grams are coded by escapes, rarer words are looked up by a join.
+What goes to all tasks is bounded whatever the corpus: the log probabilities of the most
+frequent n-grams, from complete counts, and the frequent words. All other n-grams of a text
+are sent to the part of the whole trie that holds their last two context bytes; with these all
+their longer contexts are in that part. Rarer words are looked up by a join.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import saved, text_or_empty
 
 #: Bytes of context.
 ORDER = 4
-#: Most n-grams of one length, and most words, that go to the tasks.
+#: Most n-grams, and most words, that go to all tasks; a cache, no result depends on it.
 MOST = 1 << 21
+#: N-grams in one part of the trie, about.
+_PART = 1 << 18
 #: No UTF-8 text has this byte; it stands before and after each text.
 EDGE = b"\xff"
 #: One tenth of the documents is held out.
@@ -44,6 +47,7 @@ COUNTS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("ke
 SCORED = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())),
+    T.StructField("missed", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
 ])
 
 
@@ -212,9 +216,10 @@ class Trie:
 
 @dataclass
 class Scorer:
-    """What a task needs: the trie, and frequent words with their log10 probability."""
+    """What a task needs: frequent n-grams and words with their log10 probability."""
 
-    trie: Trie
+    grams: np.ndarray
+    log_grams: np.ndarray
     words: np.ndarray
     log_words: np.ndarray
     log_end: float
@@ -222,7 +227,8 @@ class Scorer:
 
     def rows(self, first_row: int, ids: list, held: list, texts: list[str]) -> pa.RecordBatch:
         lower = [t.encode().translate(_LOWER) for t in texts]
-        score = np.concatenate([self._scores(lower[a:b]) for a, b in chunks(lower)]) if lower else np.empty(0)
+        parts = [self._scores(lower[a:b]) for a, b in chunks(lower)]
+        score, missing, missed, times = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 4
         number: dict[bytes, int] = {}
         place, sizes = [], []
         for text in lower:
@@ -239,29 +245,84 @@ class Scorer:
         is_known = known[place] if len(place) else np.empty(0, bool)
         rare = hashes[place[~is_known]] if len(place) else hashes
         offsets = np.concatenate(([0], np.cumsum(running(~is_known)))).astype(np.int32)
+        places = pa.array(np.concatenate(([0], np.cumsum(missing))).astype(np.int32))
         n = len(texts)
         return pa.RecordBatch.from_arrays([
             pa.array(np.arange(first_row, first_row + n)), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes + 1),
             pa.array(running(is_known) + int(self.end_known)), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
+            pa.ListArray.from_arrays(places, pa.array(missed)), pa.ListArray.from_arrays(places, pa.array(times)),
         ], names=SCORED.names)
 
-    def _scores(self, texts: list[bytes]) -> np.ndarray:
+    def _scores(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of each text the score of the known n-grams and the number of the others; these n-grams and how often each comes."""
         codes, starts = grams(texts)
-        return np.add.reduceat(self.trie.log10(codes), starts)
+        at, known = _find(self.grams, codes)
+        value = np.where(known, self.log_grams[at], 0.0) if len(self.grams) else np.zeros(len(codes))
+        left = np.nonzero(~known)[0]
+        text, code = np.searchsorted(starts, left, "right") - 1, codes[left]
+        order = np.lexsort((code, text))
+        text, code = text[order], code[order]
+        first = np.nonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (text[1:] != text[:-1]))))[0] if len(left) else left
+        return np.add.reduceat(value, starts), np.bincount(text[first], minlength=len(texts)), code[first], np.diff(np.append(first, len(left)))
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a small table, by the first."""
+    found = table.toArrow()
+    key, value = (found.column(i).to_numpy() for i in range(2))
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _shortened(key: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return _add_up([(key & ((1 << 8 * length) - 1), n)])
+
 
+def frequent_grams(all_grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``MOST`` of the most frequent n-grams and their log10 probabilities, by the complete totals of their contexts."""
+    size = F.floor(8 * F.log2("n"))
+    bins = sorted(((r.b, r.k) for r in all_grams.groupBy(size.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    room, least = MOST, None
+    for b, k in bins:
+        room -= k
+        if room < 0:
+            break
+        least = b
+    context = F.shiftright("key", 8).alias("context")
+    totals = all_grams.groupBy(context).agg((F.sum("n") + F.count("*")).alias("room"))
+    often = all_grams.filter(size >= least if least is not None else F.lit(False)).select("key", "n", context)
+    return _sorted(often.join(totals, "context").select("key", F.log10(F.col("n") / F.col("room")).alias("p")))
 
-def _tables(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted n-grams of each length and their counts; from three bytes on those of the 2**-21 part or more."""
-    all_grams = counts.filter(F.col("kind") == _GRAM)
-    total = all_grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first().s
-    least, out, rows = max(1, -(-total // MOST)), [], all_grams
-    for length in range(ORDER + 1, 0, -1):
-        rows = rows.groupBy(F.col("key").bitwiseAND((1 << 8 * length) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        table = rows.filter(F.col("n") >= (least if length > 2 else 1)).toArrow()
-        key, n = (table.column(i).to_numpy() for i in range(2))
-        order = np.argsort(key)
-        out.append((key[order], n[order]))
-    return out[::-1]
+
+ANSWERS = T.StructType([T.StructField("code", T.LongType()), T.StructField("p", T.DoubleType())])
+
+
+def answers(all_grams: DataFrame, entries: int, codes: DataFrame) -> DataFrame:
+    """``code, p``: the log10 probability of each n-gram of ``codes`` (one column ``code``) in the trie of all ``entries`` n-grams.
+
+    N-grams and questions meet by the two bytes before the last: all n-grams of three bytes and
+    more that a question needs are then in its part. Shorter ones (at most 256 + 256**2) go to all.
+    """
+    small = lambda length: _sorted(all_grams.groupBy(F.col("key").bitwiseAND((1 << 8 * length) - 1).alias("key")).agg(F.sum("n").alias("n")))
+    short = codes.sparkSession.sparkContext.broadcast([small(1), small(2)])
+
+    def task(batches):
+        kept = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not kept:
+            return
+        key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        asked, key, n = key[n == 0], key[n > 0], n[n > 0]
+        if not len(asked):
+            return
+        trie = Trie([*short.value, *(_shortened(key, n, length) for length in range(3, ORDER + 2))])
+        for a in range(0, len(asked), _HELD):
+            part = asked[a : a + _HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(trie.log10(part))], names=ANSWERS.names)
+
+    # a question is an n-gram without a count
+    rows = all_grams.select("key", "n").unionByName(codes.select(F.col("code").alias("key"), F.lit(0).cast("long").alias("n")))
+    parts = rows.repartition(-(-entries // _PART) + 1, F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    return parts.mapInArrow(task, ANSWERS)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -282,10 +343,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     room = tokens + ADDED * (kinds + 1)
     words = counts.filter(F.col("kind") == _WORD).select("key", "n")
     often = max(1, -(-tokens // MOST))
-    table = words.filter(F.col("n") >= often).toArrow()
-    key, n = (table.column(i).to_numpy() for i in range(2))
-    order = np.argsort(key)
-    scorer = Scorer(Trie(_tables(counts)), key[order], np.log10((n[order] + ADDED) / room), float(np.log10((ends + ADDED) / room)), ends > 0)
+    key, n = _sorted(words.filter(F.col("n") >= often))
+    all_grams = counts.filter(F.col("kind") == _GRAM).select("key", "n")
+    scorer = Scorer(*frequent_grams(all_grams), key, np.log10((n + ADDED) / room), float(np.log10((ends + ADDED) / room)), ends > 0)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def task(batches):
@@ -301,7 +361,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     found = rare.join(words.filter(F.col("n") < often), "key", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + ADDED) / room)).alias("more"), F.count("n").alias("more_known")
     )
-    return rows.drop("rare").join(found, "row", "left").select(
+    missed = rows.select("row", F.inline(F.arrays_zip("missed", "times"))).toDF("row", "code", "times")
+    known = answers(all_grams, seen[_GRAM].kinds if _GRAM in seen else 0, missed.select("code").distinct())
+    others = missed.join(known, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("p")).alias("rest"))
+    return rows.drop("rare", "missed", "times").join(found, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

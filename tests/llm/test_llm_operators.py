@@ -104,6 +104,20 @@ def test_language_model(spark, documents):
     assert len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("most", [0, 300])
+def test_language_model_beyond_the_cache(spark, documents, monkeypatch, most):
+    """Scores are those of the whole trie, however few n-grams the tasks hold and in however many parts it is."""
+    monkeypatch.setattr(ppm, "MOST", max(most, 1))
+    monkeypatch.setattr(ppm, "_PART", 1000, raising=False)
+    texts = {r.doc_id: r.text for r in list(documents.values())[:40]} | {900: "", 901: "zq\u00e9\u00e9 xx\u4e00" * 9}
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    model = ref.Ppm([t for i, t in texts.items() if not held(i)])
+    rows = {r.doc_id: r for r in ppm.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert any(held(i) for i in texts)
+    for i in [*[i for i in texts if held(i)][:5], *list(texts)[-8:]]:
+        assert rows[i].score == pytest.approx(model.text(texts[i])), i
+
+
 def test_language_model_is_a_distribution():
     texts = [b"the cat sat on the mat", b"the dog", b""]
     codes, _ = ppm.grams(texts)
