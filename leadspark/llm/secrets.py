@@ -1,8 +1,9 @@
 """Secret scans: patterns, and strings that a tokenizer's vocabulary does not know.
 
 Words and names take few tokens of a vocabulary, random strings many: a low number of
-characters per token exposes them. Known kinds of long strings without secrets (digests,
-UUIDs, numbers, names made of words) are left out first.
+characters per token exposes them. A run is measured as a whole and by its parts between
+separators, so that a name before a key does not hide it. Known kinds of long strings without
+secrets (digests, UUIDs, numbers) are left out.
 """
 
 from __future__ import annotations
@@ -23,15 +24,13 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile("[0-9a-f]{24,}")
-#: Candidates: runs of the characters of keys, with a digit.
+#: Candidates: runs of the characters of keys, then their parts by fewer of these characters.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile("[0-9]")
+_PARTS = tuple(re.compile(f"[A-Za-z0-9{more}]{{20,}}") for more in ("+/_=-", "+/_-", "+/", "_-", ""))
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 _DIGESTS = (32, 40, 56, 64, 96, 128)
 _ALL_HEX = re.compile("[0-9a-fA-F]+")
 _UUID = re.compile("[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-#: Names: words of letters, each with digits at its end at most, joined by separators or capitals.
-_NAME = re.compile("(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})[0-9]{0,4}(?:[-_/=+]*(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]+)[0-9]{0,4})*")
 _NUMBER = re.compile("[0-9+/_=-]+")
 #: A candidate with fewer characters for each token is random.
 LEAST_RATIO = 2.0
@@ -49,8 +48,8 @@ def vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def is_known_kind(run: str) -> bool:
-    """Digests, UUIDs, numbers and names: long, but no secrets."""
-    return bool((len(run) in _DIGESTS and _ALL_HEX.fullmatch(run)) or _UUID.fullmatch(run) or _NUMBER.fullmatch(run) or _NAME.fullmatch(run))
+    """Digests, UUIDs and numbers: long, but no secrets."""
+    return bool((len(run) in _DIGESTS and _ALL_HEX.fullmatch(run)) or _UUID.fullmatch(run) or _NUMBER.fullmatch(run))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -69,15 +68,33 @@ def _order(span: tuple[int, str, int]) -> tuple[int, int]:
     return span[0], KINDS.index(span[1])
 
 
+def _free(start: int, end: int, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What ``taken`` (sorted) leaves of a run."""
+    out = []
+    for a, _, b in taken:
+        if a < end and start < b:
+            out.append((start, a))
+            start = b
+    return [*out, (start, end)]
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Runs outside ``taken`` that need a token for fewer than ``LEAST_RATIO`` characters."""
+    """Runs, or else their parts, outside ``taken`` that need a token for fewer than ``LEAST_RATIO`` characters."""
     out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        if not _DIGIT.search(run) or any(a < m.end() and m.start() < b for a, _, b in taken) or is_known_kind(run):
-            continue
-        if len(run) < LEAST_RATIO * len(encoding.encode_ordinary(run)):
-            out.append((m.start(), "random", m.end()))
+        found: list[tuple[int, str, int]] = []
+        for start, end in _free(m.start(), m.end(), taken):
+            measured = set()
+            for parts in _PARTS:
+                for at, stop in [p.span() for p in parts.finditer(text, start, end)]:
+                    # longer parts come first
+                    if (at, stop) in measured or any(a < stop and at < b for a, _, b in found):
+                        continue
+                    measured.add((at, stop))
+                    part = text[at:stop]
+                    if not is_known_kind(part) and len(part) < LEAST_RATIO * len(encoding.encode_ordinary(part)):
+                        found.append((at, "random", stop))
+        out += found
     return out
 
 

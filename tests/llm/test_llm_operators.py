@@ -71,6 +71,22 @@ def test_secrets_by_token_ratio():
     assert found("einkeitlichengeschichtenbuch internationalization") == []
 
 
+def test_secrets_of_any_letters_and_places():
+    """Random strings are found without digits, like names or not, behind names and beside patterns' matches."""
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = lambda t: [t[a:b] for a, _, b in secrets.random_spans(t, encoding, secrets.base_spans(t))]
+    rng = np.random.default_rng(7)
+    draw = lambda letters, n=24: "".join(rng.choice(list(letters), n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters, n, least in ((lower + upper, 24, 195), (upper, 24, 195), (lower, 24, 175), (upper + "234567", 32, 195), (lower + "0123456789", 24, 195)):
+        assert sum(found(k) == [k] for k in (draw(letters, n) for _ in range(200))) >= least, letters
+    assert found("qxzvkjwpfhgtrbnmlsdc1") == ["qxzvkjwpfhgtrbnmlsdc1"]
+    key = "q7Zx0PkV9tRw3LmB8sYd2HcJ"
+    assert all(found(prefix + key) for prefix in ("production_service_account_", "client_authentication_credential="))
+    assert found(f"token=abcdef:{key}") == [key] and found(f"{key}/token=abcdefgh") == [f"{key}/"]
+    assert found("CONFIGURATION_DIRECTORY_SETTINGS applicationConfigurationManager docs/reference/getting-started-guide") == []
+
+
 def test_url_parts_and_precedence(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/x?q"), (2, "http://example.org/en/12"), (3, "http://x.com/fr/"), (4, "http://x.com/de/1#f"), (5, "no scheme"), (6, None), (7, "http://org"), (8, "http://notexample.org/es/"), (9, "a://b://org/"), (9, "http://x.org/")]
     got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark))
