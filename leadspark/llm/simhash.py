@@ -149,7 +149,9 @@ def fingerprint_components(distinct: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, k_hash, fp, component_id`` for each row; ``component_id`` is the smallest doc_id reachable.
+    """``doc_id, k_hash, fp, component_id, root`` for each row; ``component_id`` is the smallest doc_id reachable.
+
+    ``root`` names the component: a ``component_id`` can be null, or an id that stands in two components.
 
     Fingerprints link at ``LINK_BITS`` or fewer differing bits. A null text is empty; texts
     without words have fingerprint zero and link like any other. Equal fingerprints are one
@@ -162,8 +164,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rooted = saved(least.join(fingerprint_components(least), "fp"), "near-rooted")
     # written first, so that the join back deals both sides anew and can split a hot component
     smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-smallest")
-    mapping = saved(rooted.join(smallest, "root").select("fp", "component_id"), "near-mapping")
-    return rows.join(mapping, "fp").select("doc_id", "k_hash", "fp", "component_id")
+    mapping = saved(rooted.join(smallest, "root").select("fp", "component_id", "root"), "near-mapping")
+    return rows.join(mapping, "fp").select("doc_id", "k_hash", "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -173,5 +175,5 @@ def hex_fingerprint(fp: Column) -> Column:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
     groups = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = groups.groupBy(F.coalesce("component_id", "fp").alias("c"), "component_id").agg(F.min("k_hash").alias("k_hash"))
-    return one_of_each(docs, keys.select(F.col("component_id").alias("k_id"), "k_hash"))
+    keys = groups.groupBy("root").agg(F.min("component_id").alias("k_id"), F.min("k_hash").alias("k_hash"))
+    return one_of_each(docs, keys.select("k_id", "k_hash"))

@@ -90,6 +90,19 @@ def test_only_null_ids(spark):
     assert len(simhash.near_dedup(docs).collect()) == 2
 
 
+def test_near_dedup_by_component(spark):
+    """An id of two distant texts does not join their components, and a component of null ids keeps one row."""
+    words = [f"w{i * i}" for i in range(300)]
+    text, near = " ".join(words), [" ".join([*words[:-1], f"other{i}"]) for i in range(50)]
+    apart = [(simhash.fingerprint(text) ^ simhash.fingerprint(t)).bit_count() for t in near]
+    other = next(t for t, d in zip(near, apart, strict=True) if 0 < d <= simhash.LINK_BITS)
+    distant = " ".join(f"v{i * 7}" for i in range(300))
+    got = simhash.near_dedup(frame(spark, [(1, text, "en", "a"), (1, distant, "en", "a"), (2, other, "en", "a")])).collect()
+    assert [r.doc_id for r in got] == [1, 1] and {r.text for r in got} == {text, distant}
+    got = simhash.near_dedup(frame(spark, [(None, text, "en", "a"), (None, other, "en", "a"), (None, distant, "en", "a")])).collect()
+    assert len(got) == 2 and distant in {r.text for r in got}
+
+
 def test_quality_keeps_repeats(spark):
     rng = random.Random(4)
     syllables = ("the", "an", "re", "tion", "in", "er", "ou")
