@@ -350,3 +350,17 @@ def test_packing_limits():
             assert p.loss == max(0, p.start + p.tokens - max(p.start, rows[p.doc_id][2]))
         total += sum(p.tokens for p in pieces)
     assert total == sum(len(t) + 1 for _, t, _ in rows)
+
+
+@pytest.mark.parametrize(("binds", "length", "loss_from"), [("tokens", 32, 28), ("segments", 4, 2), ("loss", 16, 0)])
+def test_each_packing_limit_binds(binds, length, loss_from):
+    # lengths of full sequences are powers of two, so none is split
+    limits = packing.Limits(tokens=64, segments=4, loss=32, pool=8)
+    rows = [(i, "x" * (length - 1), loss_from) for i in range(60)]
+    encode = lambda t: (7).to_bytes(4, "little") * len(t)
+    parts = list(packing.sequences(iter(rows), encode, limits, 0))
+    used = [{"tokens": sum(p.tokens for p in part), "segments": len(part), "loss": sum(p.loss for p in part)} for part in parts]
+    most = {"tokens": 64, "segments": 4, "loss": 32}
+    assert all(u[k] <= most[k] for u in used for k in most) and sum(u["tokens"] for u in used) == 60 * length
+    reached = {k for k in most if max(u[k] for u in used) == most[k]}
+    assert reached == {binds}
