@@ -141,7 +141,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     texts = _keyed(docs)
     placed = stored(texts.mapInArrow(partial(_anchor_rows, length=length), _ANCHORS), "anchors")
-    repeated = placed.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # tables of ranks are written first, so that a join deals both sides anew and can split a hot rank
+    repeated = stored(placed.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "repeated")
     ranked = stored(placed.join(repeated, "core"), "ranked")
     remove(spark, f"{base}/anchors")
 
@@ -149,7 +150,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hulls = stored(hulls.select("core", "hull", "n", "one.*").withColumn("sid", F.monotonically_increasing_id()), "hulls")
     whole = ranked.join(hulls.filter("n > 1").select("core", "hull"), ["core", "hull"])
     whole = stored(whole.select("k1", "k2", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end")).distinct(), "whole")
-    mixed = hulls.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
+    mixed = stored(hulls.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core"), "mixed")
     wanted = hulls.join(mixed, "core").groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("sid", "pos", "lo", "hi", "core")).alias("wanted"))
     at, want = texts.alias("t"), wanted.alias("w")
     same = (F.col("t.k1") == F.col("w.k1")) & (F.col("t.k2") == F.col("w.k2")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -167,7 +168,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         twice = rows.join(kinds.filter("n > 1").select("core", "hull"), ["core", "hull"]).select("sid", "lo", "hi")
         found.append(stored(twice, f"found-{turn}"))
         if width > 1:
-            open_cores = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
+            open_cores = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core"), f"open-{turn}")
             left = rows.join(open_cores, "core").groupBy("sid").agg(F.collect_list(F.struct("first", "last", "core")).alias("segments"))
             asked = pieces.join(left, "sid")
     parts = found[0]
@@ -176,7 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = parts.join(pieces.select("sid", "k1", "k2", "pos"), "sid").select("k1", "k2", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
     spans = whole.unionByName(parts).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spark.read.schema(spans.schema).parquet(_written(spans, f"{base}/spans"))
-    for name in ("hulls", "whole", "pieces", *(f"{kind}-{turn}" for kind in ("segments", "kinds", "found") for turn in range(len(WIDTHS)))):
+    for name in ("repeated", "hulls", "whole", "mixed", "pieces", *(f"{kind}-{turn}" for kind in ("segments", "kinds", "found", "open") for turn in range(len(WIDTHS)))):
         remove(spark, f"{base}/{name}")
     return spans
 
