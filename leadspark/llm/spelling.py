@@ -61,11 +61,12 @@ def letter_parts(words: DataFrame, parts: int = PARTS) -> list[str]:
 
 
 def signatures(word: Column, parts: list[str]) -> Column:
-    """An array of ``number, rest``: for every two parts the sorted letters of the others."""
+    """An array of strings: for every two parts the sorted letters of the others, then the two parts' number.
+
+    The letters come first, so that sorting for the join mostly compares eight bytes.
+    """
     ordered = F.array_join(F.array_sort(F.split(word, "")), "")
-    return F.array(*(
-        F.struct(F.lit(n).alias("number"), F.translate(ordered, a + b, "").alias("rest")) for n, (a, b) in enumerate(combinations(parts, 2))
-    ))
+    return F.array(*(F.concat(F.translate(ordered, a + b, ""), F.lit(str(n))) for n, (a, b) in enumerate(combinations(parts, 2))))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -79,9 +80,11 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     Only pairs that pass the edit test leave the join, whose keys adaptive execution can split.
     """
     dealt = letter_parts(words, parts)
-    keyed = words.select("word", "n", F.inline(signatures(F.col("word"), dealt)))
-    left, right = keyed.toDF("a", "n_a", "number", "rest"), keyed.toDF("b", "n_b", "number", "rest")
-    met = left.join(right, ["number", "rest"]).filter((F.col("a") < F.col("b")) & one_edit(F.col("a"), F.col("b")))
+    # few rows become many: more tasks than the small table of words has files
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = words.repartition(tasks).select("word", "n", F.explode(signatures(F.col("word"), dealt)).alias("signature"))
+    left, right = keyed.toDF("a", "n_a", "signature"), keyed.toDF("b", "n_b", "signature")
+    met = left.join(right, "signature").filter((F.col("a") < F.col("b")) & one_edit(F.col("a"), F.col("b")))
     return met.select("a", "n_a", "b", "n_b").distinct()
 
 
