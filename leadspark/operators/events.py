@@ -25,17 +25,21 @@ def enrich_with_captures(leads: DataFrame, captures: DataFrame, now: int, time:
     """
     fields = [f for f in (*CAPTURE_FIELDS, "first_name", "last_name", "name") if f in captures.columns]
     table = captures.select("email", F.struct(*fields).alias("_c"))
-    df = left_lookup(leads, table, "email")
+    return with_capture_fields(left_lookup(leads, table, "email"), fields, now, time, name)
+
+
+def with_capture_fields(df: DataFrame, fields: list[str], now: int, time: str = "data", name: str = "name") -> DataFrame:
+    """The enrichment of rows whose capture is the struct ``_c`` (null where there is none) with ``fields``."""
     cap = lambda f: F.col(f"_c.{f}") if f in fields else F.lit(None).cast("string")
-    full = blank_to_null(F.col(name)) if name in leads.columns else F.lit(None).cast("string")
+    full = blank_to_null(F.col(name)) if name in df.columns else F.lit(None).cast("string")
     own = blank_to_null(cap("first_name"))
     first = F.when(full.isNotNull(), ct.first_name(full)).when(own.isNotNull(), own).otherwise(ct.first_name(cap("name")))
     last = F.when(full.isNotNull(), ct.last_name(full)).when(own.isNotNull(), cap("last_name")).otherwise(ct.last_name(cap("name")))
     made = F.concat(F.lit(f"lead_{now}_"), F.substr(F.sha2("email", 256), F.lit(1), F.lit(16)))
+    when = epoch_seconds(F.col(time), F.lit(now)) if time in df.columns else F.lit(now)
     out = df.withColumn("first_name", first).withColumn("last_name", last)
     for f in CAPTURE_FIELDS:
         out = out.withColumn(f, F.coalesce(cap(f), made) if f == "event_id" else cap(f))
-    when = epoch_seconds(F.col(time), F.lit(now)) if time in leads.columns else F.lit(now)
     return out.withColumn("event_time", when).withColumn("decile", F.coalesce("decile", F.lit(1))).drop("_c")
 
 

@@ -40,3 +40,19 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data through the file system that Spark wrote it with."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file or folder within the file system that Spark writes to; the new one's parent is made."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(new).getParent())
+    if not system.rename(path(old), path(new)):
+        raise OSError(f"cannot move {old} to {new}")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(p)) if system.exists(p) else []
