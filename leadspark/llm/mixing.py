@@ -1,10 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's documents are each to be taken ``target / size`` times. The whole part is taken;
-the fractions are probabilities that sum to the same copies, and are rounded together:
-two open documents meet, mass moves at random from one to the other until one of them is
-settled at zero or one, and the other goes on. Blocks of documents are settled in tasks;
-what each block leaves open meets that of other blocks up a reduction tree.
+the fractions are probabilities that are rounded together: two open documents meet, words
+move at random from one to the other until one of them is settled at zero or one, and the
+other goes on. What one loses in expected words the other gains, and the odds are such that no
+probability changes: each document is taken as often as it should be, and a source's words
+differ from the expected ones by its last open document at most. Blocks of documents are settled
+in tasks; what each block leaves open meets that of other blocks up a reduction tree.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ SHARE, MOST = 1.5, 2.0
 #: Documents in a block of the first level, and open documents that meet in one node above.
 BLOCK, FAN = 1024, 256
 SEED = 5
-#: Random roundings of a node, of which the one nearest to its expected words is taken.
-TRIES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -64,47 +64,41 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return table.withColumn("target", F.least(F.col("weight") * level, most * total.cast("double"))).drop("weight")
 
 
-def _pivot(p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
+def _pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
     """Settle probabilities one against the next; the place of the one left open, or -1.
 
-    ``p`` is changed in place to zeros and ones, but for the open one.
+    ``p`` is changed in place to zeros and ones, but for the open one; ``p @ size`` stays.
     """
     open_at = -1
     for i in range(len(p)):
         if open_at < 0:
             open_at = i
         else:
-            a, b, u = p[open_at], p[i], draws[i]
-            both = a + b
-            if both < 1:
-                winner, loser = (i, open_at) if u * both < b else (open_at, i)
-                p[winner], p[loser], open_at = both, 0.0, winner
+            a, b, ratio = p[open_at], p[i], size[i] / size[open_at]
+            up, down = min(1 - a, b * ratio), min(a, (1 - b) * ratio)
+            move = up if draws[i] * (up + down) < down else -down
+            p[open_at], p[i] = a + move, b - move / ratio
+            if min(p[i], 1 - p[i]) > min(p[open_at], 1 - p[open_at]):
+                p[open_at], open_at = round(p[open_at]), i
             else:
-                winner, loser = (i, open_at) if u * (2 - both) < 1 - a else (open_at, i)
-                p[winner], p[loser], open_at = 1.0, both - 1, loser
+                p[i] = round(p[i])
         if p[open_at] < 1e-12 or p[open_at] > 1 - 1e-12:
             p[open_at] = round(p[open_at])
             open_at = -1
     return p, open_at
 
 
-def _draws(h: np.ndarray, level: int, attempt: int) -> np.ndarray:
-    """Draws in [0, 1) fixed by each item's hash, the level and the attempt."""
-    x = h.view(np.uint64) + np.uint64((level * TRIES + attempt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+def _draws(h: np.ndarray, level: int) -> np.ndarray:
+    """Draws in [0, 1) fixed by each item's hash and the level."""
+    x = h.view(np.uint64) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
 def settle_node(p: np.ndarray, size: np.ndarray, h: np.ndarray, level: int) -> tuple[np.ndarray, int]:
-    """One node's rounding: of ``TRIES`` pivotal roundings that whose words differ least from the expected ones."""
-    best = None
-    for attempt in range(TRIES):
-        settled, at = _pivot(p.copy(), _draws(h, level, attempt))
-        error = abs(float((settled - p) @ size))
-        if best is None or error < best[0] - 1e-9:
-            best = (error, settled, at)
-    return best[1], best[2]
+    """One node's pivotal rounding, and the place of the item that it leaves open, or -1."""
+    return _pivot(p.copy(), size, _draws(h, level))
 
 
 _SETTLED = T.StructType([
@@ -150,9 +144,8 @@ def _settle(level: int):
 def round_together(items: DataFrame) -> DataFrame:
     """``key, p`` with ``p`` zero or one, from ``key, h, group, size, p, number``.
 
-    Within each ``group`` the ones are as many as the sum of ``p``, up or down to an integer.
-    In a node items meet by falling size, so mass moves between like sizes and what stays open
-    is small. ``h`` is a hash that fixes an item's draws, ``number`` the group's items, which
+    Within each ``group`` the sizes of the ones add up to the sum of ``p * size``, but for less than
+    one item. In a node items meet by falling size. ``h`` is a hash that fixes an item's draws, ``number`` the group's items, which
     are cut into blocks of about ``BLOCK``. Nodes have a bounded number of rows at every level
     and are dealt to tasks whole.
     """

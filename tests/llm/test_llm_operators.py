@@ -190,10 +190,32 @@ def test_rounding_keeps_sums_and_probabilities(spark):
     got = {r.key: r.p for r in mixing.round_together(items.withColumn("h", F.xxhash64("h"))).collect()}
     assert len(got) == 5000 and set(got.values()) == {0.0, 1.0}
     for group in (0, 1):
-        assert abs(sum(got[i] for i in range(5000) if i % 2 == group) - 750) <= 1
-    p, size = np.full(40, 0.25), np.ones(40, np.int64)
-    settled = np.mean([mixing.settle_node(p, size, np.random.default_rng(n).integers(0, 2**62, 40), 0)[0] for n in range(800)], axis=0)
-    assert abs(settled - 0.25).max() < 0.07
+        words = lambda taken: sum(taken * r[3] for r in rows if r[2] == group)  # noqa: E731, B023
+        assert abs(sum(got[r[0]] * r[3] for r in rows if r[2] == group) - words(0.3)) < 60
+
+
+@pytest.mark.parametrize("p", [0.02, 0.25, 0.5, 0.9])
+def test_inclusion_probabilities_of_skewed_sizes(p):
+    """Every item, the largest too, is taken as often as it should be, on the first level and through a second."""
+    rng = np.random.default_rng(7)
+    size = np.sort(np.exp(rng.normal(5, 1.5, 300)).astype(np.int64) + 1)[::-1]
+    draws, ones, words = 3000, np.zeros(300), []
+    for n in range(draws):
+        h = np.random.default_rng(n).integers(0, 2**62, 300)
+        taken, left = np.full(300, p), []
+        for node in range(3):
+            at = np.arange(node, 300, 3)
+            taken[at], still = mixing.settle_node(taken[at], size[at], h[at], 0)
+            left += [at[still]] if still >= 0 else []
+        left = np.array(sorted(left), np.int64)
+        taken[left], still = mixing.settle_node(taken[left], size[left], h[left], 1)
+        assert abs((taken - p) @ size) < 1e-6 * size.sum()
+        if still >= 0:
+            taken[left[still]] = float(np.random.default_rng(10**6 + n).random() < taken[left[still]])
+        ones += taken
+        words.append(taken @ size)
+    assert set(taken) <= {0.0, 1.0} and max(abs(np.array(words) - p * size.sum())) < size.max()
+    assert (abs(ones / draws - p) < 4.5 * np.sqrt(p * (1 - p) / draws)).all()
 
 
 def test_quality_statistics(spark, documents):
