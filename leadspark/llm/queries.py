@@ -53,7 +53,7 @@ def op5_mixing(spark, sf_dir):
 def op6_quality(spark, sf_dir):
     """Text statistics and the verdict of the quality rules on every document."""
     rows = quality.judged(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "log_perplexity")
+    return rows.select("doc_id", *quality.STATISTICS, "base_failed", "kept", *quality.MEASURES)
 
 
 def op7_simhash(spark, sf_dir):

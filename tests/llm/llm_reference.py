@@ -131,3 +131,40 @@ class Ppm:
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def kneser_ney(sequences, classes):
+    """``p(a, b, c)``: modified Kneser-Ney trigram probability of ``c`` after ``a, b``; sequences of symbols."""
+    three, two, one = Counter(), Counter(), Counter()
+    for seq in sequences:
+        padded = [0, *seq]
+        three.update(zip(padded, padded[1:], padded[2:]))
+    for _, b, c in three:
+        two[b, c] += 1
+    for _, c in two:
+        one[c,] += 1
+
+    def discounts(counts):
+        n = [max(sum(v == k for v in counts.values()), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [min(max(v, 0.1), k - 0.1) for k, v in enumerate(d, 1)]
+
+    def level(counts, lower):
+        d = discounts(counts)
+        followers = defaultdict(dict)
+        for gram, n in counts.items():
+            followers[gram[:-1]][gram[-1]] = n
+
+        def p(*gram):
+            seen = followers.get(gram[:-1])
+            if not seen:
+                return lower(*gram[1:])
+            total = sum(seen.values())
+            cut = lambda n: d[min(n, 3) - 1]
+            n = seen.get(gram[-1], 0)
+            return ((n - cut(n)) if n else 0) / total + sum(map(cut, seen.values())) / total * lower(*gram[1:])
+
+        return p
+
+    return level(three, level(two, level(one, lambda *_: 1 / classes)))
