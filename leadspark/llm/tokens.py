@@ -44,8 +44,8 @@ class _Known(dict):
         # chunks put together from others are not remembered
         if self.lead and chunk[:1] == b"\n":
             return self.bare[b"\n"] + self.bare[chunk[1:]]
-        if text[-1:] in (".", ",") and text[-2:-1].isalpha():
-            # a full stop or comma after a letter is a chunk of its own
+        if text[-1:] in (".", ",") and text[-2:-1].lower().isalpha():
+            # a full stop or comma after a letter, lower-cased too, is a chunk of its own
             return self[chunk[:-1]] + self.bare[chunk[-1:]]
         ids = struct.pack(f"<{len(found := self._ids(text))}I", *found)
         if len(self) >= REMEMBERED:
@@ -67,7 +67,8 @@ class Encoder:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # their strings in a text are ordinary text, as the tokenizers' README shows it
+        tokenizer.encode_special_tokens = True
         self.bare = _Known(tokenizer)
         self.spaced = _Known(tokenizer, " ", self.bare)
         # a tokenizer that drops white space has the same ids with and without it
