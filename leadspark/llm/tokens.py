@@ -44,8 +44,8 @@ class _Known(dict):
         # chunks put together from others are not remembered
         if self.lead and chunk[:1] == b"\n":
             return self.bare[b"\n"] + self.bare[chunk[1:]]
-        if text[-1:] in (".", ",") and text[-2:-1].lower().isalpha():
-            # a full stop or comma after a letter, lower-cased too, is a chunk of its own
+        if text[-1:] in (".", ",") and self._ends_in_letter(text[-2:-1]):
+            # a full stop or comma after a letter is a chunk of its own
             return self[chunk[:-1]] + self.bare[chunk[-1:]]
         ids = struct.pack(f"<{len(found := self._ids(text))}I", *found)
         if len(self) >= REMEMBERED:
@@ -54,6 +54,10 @@ class _Known(dict):
             self[chunk] = ids
         return ids
 
+    def _ends_in_letter(self, last: str) -> bool:
+        """Whether a character still ends in a letter once it is normalised."""
+        return last.isalpha() and (last.isascii() or not self.normalizer or self.normalizer.normalize_str(last)[-1:].isalpha())
+
     def _ids(self, text: str) -> list[int]:
         plain = self.normalizer.normalize_str(text) if self.normalizer else text
         if plain.isalpha() and max(plain) < "\u0250":
