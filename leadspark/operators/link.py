@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.contact import phone_variants
+from .asof import next_value
 from .joins import first_per_key, flag_members, left_lookup, nulls_last
 
 
@@ -140,39 +141,10 @@ def _first_sales(sales: DataFrame) -> DataFrame:
 
 
 def _first_sales_after(leads: DataFrame, sales: DataFrame) -> DataFrame:
-    """``(k, captured_at, sale)``: the first sale at or after each capture of a contact key.
-
-    Sales and captures are compared within one day of one key, and days against later
-    days of the key, so no group is larger than a key's day or its number of days.
-    """
-    day = F.col("ts").cast("date")
-    sold = (
-        _by_key(sales.filter("sale_date IS NOT NULL"), *_SALE)
-        .select("k", F.col("sale_date").cast("timestamp_ntz").alias("ts"), F.struct(*_SALE).alias("sale"))
-        .groupBy("k", "ts").agg(F.min("sale").alias("sale")).withColumn("day", day)
-    )
-    seen = (
-        _by_key(leads.filter("captured_at IS NOT NULL"), "captured_at")
-        .select("k", F.col("captured_at").alias("ts")).distinct().withColumn("day", day)
-    )
-    both = sold.withColumn("is_sale", F.lit(1)).unionByName(
-        seen.withColumn("is_sale", F.lit(0)), allowMissingColumns=True
-    )
-    same_day = (
-        Window.partitionBy("k", "day").orderBy(F.desc("ts"), F.desc("is_sale"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    later_days = (
-        Window.partitionBy("k").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    todays = both.withColumn("today", F.last("sale", ignorenulls=True).over(same_day))
-    days = (
-        both.groupBy("k", "day").agg(F.min_by("sale", F.when(F.col("is_sale") == 1, F.col("ts"))).alias("sale"))
-        .withColumn("later", F.last("sale", ignorenulls=True).over(later_days))
-        .select("k", "day", "later")
-    )
-    found = todays.filter("is_sale = 0").join(days, ["k", "day"])
-    return found.select("k", F.col("ts").alias("captured_at"), F.coalesce("today", "later").alias("sale"))
+    """``(k, captured_at, sale)``: the first sale at or after each capture of a contact key."""
+    sold = _by_key(sales.filter("sale_date IS NOT NULL"), F.col("sale_date").cast("timestamp_ntz").alias("ts"), F.struct(*_SALE).alias("value"))
+    seen = _by_key(leads, F.col("captured_at").alias("ts"))
+    return next_value(sold, seen).select("k", F.col("ts").alias("captured_at"), F.col("value").alias("sale"))
 
 
 def attribute_sales(leads: DataFrame, sales: DataFrame, temporal: bool = False) -> DataFrame:
