@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CORRECTED_RATES, DECILES, DEFAULTS, Settings
+from ..config import CORRECTED_RATES, DECILES, DEFAULTS
 from ..operators import costs as ops
 from ..operators import utm_report as rep
 from ..sources import reports as src
@@ -183,22 +183,24 @@ def utm_economics_adset(t):
     return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, dimensions=("medium",))["medium"])
 
 
+# Every 23rd lead names its ad with " v2" after it; such a name is similar if it is long enough.
 _AD = f"""SELECT g.*, n.spend FROM
-  (SELECT period_days, content AS value, min(campaign_name) AS campaign_name, min(adset_fixed) AS adset_name, count(lead_score) AS leads, {_SHARES}
+  (SELECT period_days, CASE WHEN lead_id % 23 = 0 THEN content || ' v2' ELSE content END AS value, min(campaign_name) AS campaign_name, min(adset_fixed) AS adset_name, count(lead_score) AS leads, {_SHARES}
    FROM (SELECT l.*, c.campaign_name, CASE WHEN l.medium = 'paid' THEN f.adset_name ELSE l.medium END AS adset_fixed
          FROM timed_leads l LEFT JOIN (SELECT campaign_id, min(campaign_name) AS campaign_name FROM timed GROUP BY 1) c ON right(l.campaign, 18) = c.campaign_id
-         LEFT JOIN (SELECT lower(ad_name) AS k, arg_min(adset_name, (campaign_id, adset_id, ad_id)) AS adset_name FROM timed GROUP BY 1) f ON lower(l.content) = f.k
+         LEFT JOIN (SELECT lower(ad_name) AS k, arg_min(adset_name, (campaign_id, adset_id, ad_id)) AS adset_name FROM timed GROUP BY 1) f ON lower(l.content) = f.k AND l.lead_id % 23 <> 0
          WHERE l.content IS NOT NULL)
    WHERE adset_fixed IS NOT NULL GROUP BY 1, 2) g
   JOIN (SELECT period_days, lower(ad_name) AS k, arg_min(spend, (campaign_id, adset_id, ad_id)) AS spend FROM
         (SELECT period_days, campaign_id, adset_id, ad_id, min(ad_name) AS ad_name, sum(spend) AS spend FROM timed GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) n
-    ON g.period_days = n.period_days AND lower(g.value) = n.k WHERE n.spend > 0"""
+    ON g.period_days = n.period_days AND (lower(g.value) = n.k OR lower(g.value) = n.k || ' v2' AND 2.0 * length(n.k) / (2 * length(n.k) + 3) >= {DEFAULTS.ad_similarity}) WHERE n.spend > 0"""
 
 
 @query("utm_economics_ad", sql(_economics(_AD, "ad", "true", "period_days, value, campaign_name, adset_name"), _TIMED))
 def utm_economics_ad(t):
-    exact = Settings(ad_similarity=1.0)  # SQL has no sequence similarity
-    return _rounded(rep.utm_economics(t.leads_utm, t.ads, AS_OF, settings=exact, dimensions=("ad",))["ad"])
+    """Ad names as they are, in other case, and misspelt."""
+    content = F.when(F.col("lead_id") % 23 == 0, F.concat("content", F.lit(" v2"))).otherwise(F.col("content"))
+    return _rounded(rep.utm_economics(t.leads_utm.withColumn("content", content), t.ads, AS_OF, dimensions=("ad",))["ad"])
 
 
 _WORDS = f"""SELECT period_days, nullif(split_part(term, '--', 1), '') AS value, count(lead_score) AS leads, 0.0 AS spend, {_SHARES}
