@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import utm as u
 from ..functions.text import strip
-from .fuzzy import similar_pairs
+from .fuzzy import best_matches
 from .joins import left_lookup
 
 LEVELS = ("campaign", "adset", "ad")
@@ -210,10 +210,10 @@ def spend_of_values(values: DataFrame, ads: DataFrame, level: str, threshold: fl
     out = out.withColumn("_solved", solved)
     names = by("name", "spend").withColumn("_folded", F.lower(strip(F.col("_k"))))
     rest = out.filter("_solved IS NULL").select(u.comparable_name(F.col("value")).alias("_utm")).filter("_utm IS NOT NULL")
-    pairs = similar_pairs(names, rest, "_folded", "_utm", threshold)
+    pairs = best_matches(rest, names, "_utm", "_folded", threshold, names_first=True)
     best = (
-        pairs.join(names, F.col("left") == F.col("_folded"))
-        .groupBy(F.col("right").alias("_utm"))
+        pairs.join(names, F.col("name") == F.col("_folded"))
+        .groupBy(F.col("value").alias("_utm"))
         .agg(F.min_by("spend", F.struct(-F.col("ratio"), F.col("_k"))).alias("_similar"))
     )
     out = left_lookup(out.withColumn("_utm_key", u.comparable_name(F.col("value"))), best, "_utm_key", "_utm")
@@ -247,11 +247,11 @@ def spend_of_campaign_values(values: DataFrame, ads: DataFrame, threshold: float
     equal = adsets.select(pair("_campaign_id", "_adset").alias("_k"), F.col("spend").alias("_equal"))
     out = left_lookup(out, equal, "_pair", "_k")
     rest = out.filter("_campaign IS NOT NULL AND _equal IS NULL").select("_campaign_id", "_adset")
-    pairs = similar_pairs(rest, adsets, "_adset", "_adset", threshold, within="_campaign_id")
+    pairs = best_matches(rest, adsets, "_adset", "_adset", threshold, within="_campaign_id")
     best = (
-        pairs.withColumn("_k", pair("_campaign_id", "right")).join(equal, "_k")
-        .groupBy(pair("_campaign_id", "left").alias("_sk"))
-        .agg(F.min_by("_equal", F.struct(-F.col("ratio"), F.col("right"))).alias("_similar"))
+        pairs.withColumn("_k", pair("_campaign_id", "name")).join(equal, "_k")
+        .groupBy(pair("_campaign_id", "value").alias("_sk"))
+        .agg(F.min_by("_equal", F.struct(-F.col("ratio"), F.col("name"))).alias("_similar"))
     )
     out = left_lookup(out, best, "_pair", "_sk").withColumn("_adset_spend", F.coalesce("_equal", "_similar"))
     budget = (
@@ -294,12 +294,12 @@ def spend_of_ad_values(
     rest = out.filter("_solved IS NULL")
     within = None if not extra else "_within"
     scope = (lambda d: d) if not extra else (lambda d: d.withColumn("_within", F.concat_ws("\u0001", *extra)))
-    pairs = similar_pairs(scope(rest), scope(names), "_name", "_name", threshold, within)
+    pairs = best_matches(scope(rest), scope(names), "_name", "_name", threshold, within)
     pair_key = (lambda c: F.col(c)) if not extra else (lambda c: F.concat_ws("\u0001", F.col("_within"), F.col(c)))
     best = (
-        pairs.withColumn("_k", pair_key("right")).join(by_name, "_k")
-        .groupBy(pair_key("left").alias("_named")).agg(
-            F.min_by("_by_name", F.struct(-F.col("ratio"), F.col("right"))).alias("_similar"))
+        pairs.withColumn("_k", pair_key("name")).join(by_name, "_k")
+        .groupBy(pair_key("value").alias("_named")).agg(
+            F.min_by("_by_name", F.struct(-F.col("ratio"), F.col("name"))).alias("_similar"))
         .withColumnRenamed("_named", "_sk")
     )
     out = left_lookup(out, best, "_named", "_sk")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("linking", "utm", "costs", "scoring", "metrics", "profiling", "model", "streams", "intake", "persons", "loading")
+FAMILIES = ("linking", "utm", "costs", "scoring", "metrics", "profiling", "model", "streams", "intake", "persons", "loading", "sketching")
 
 
 def load_all():

@@ -216,3 +216,26 @@ def test_split_by_person_keeps_persons_together(spark):
     for key in ("email", "phone"):
         assert out.groupBy(key).agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
     assert {r["split"] for r in splits.split_report(out).collect()} <= {"train", "test"}
+
+
+@pytest.mark.parametrize("names_first", [False, True])
+def test_best_matches_are_the_best_of_all_pairs(spark, names_first):
+    import difflib
+    import random
+
+    rng = random.Random(11)
+    base = [f"demo | cap | {w} | {n:04d}" for w in ("frio", "quente", "morno") for n in rng.sample(range(10000), 15)] + ["a", "ab", "xyz"]
+    altered = [b for b in base[:6]] + [b.replace("0", "1", 1) for b in base] + [b[:-1] for b in base] + [b + " v2" for b in base] + ["nothing like it at all", ""]
+    names = spark.createDataFrame([(g, n) for g in ("x", "y") for n in base[: 30 if g == "x" else None]], "g string, n string")
+    values = spark.createDataFrame([(g, v) for g in ("x", "y") for v in altered] + [("x", None)], "g string, v string")
+    got: dict = {}
+    for r in fuzzy.best_matches(values, names, "v", "n", 0.8, "g", names_first, (0.95, 0.9)).collect():
+        got.setdefault((r.g, r.value), set()).add((r.name, round(r.ratio, 9)))
+    want: dict = {}
+    for g in ("x", "y"):
+        for v in set(altered):
+            scored = [(round(difflib.SequenceMatcher(None, *((n, v) if names_first else (v, n))).ratio(), 9), n) for n in base[: 30 if g == "x" else None]]
+            top = max(s for s, _ in scored)
+            if top >= 0.8:
+                want[g, v] = {(n, s) for s, n in scored if s == top}
+    assert got == want
