@@ -168,3 +168,89 @@ def kneser_ney(sequences, classes):
         return p
 
     return level(three, level(two, level(one, lambda *_: 1 / classes)))
+
+
+def spelling(rows):
+    """``word -> (n, n_near, form, form_n, root)`` of ``(doc_id, text)``, some runs misspelt."""
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    near = {w: set() for w in words}
+    holes = defaultdict(list)
+    for w in words:
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1 :]].append(w)
+            shorter = w[:i] + w[i + 1 :]
+            if shorter in words:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for group in holes.values():
+        for a in group:
+            near[a] |= {b for b in group if b != a}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda y: (-words[y], y), default=None)
+        if best and words[best] >= 10 * words[w]:
+            form[w] = best
+    out = {}
+    for w in words:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (words[w], len(near[w]), form.get(w), words.get(form.get(w)), root)
+    return out
+
+
+def runs(w):
+    """Every maximal periodic run, by trying all periods and all smaller ones."""
+    out = []
+    for q in range(1, len(w) // 4 + 1):
+        i = q
+        while i < len(w):
+            if w[i] != w[i - q]:
+                i += 1
+                continue
+            j = i
+            while j < len(w) and w[j] == w[j - q]:
+                j += 1
+            start, size = i - q, j - i + q
+            if size >= max(6, 4 * q) and not any(all(w[t] == w[t - d] for t in range(start + d, j)) for d in range(1, q)):
+                out.append((start, size, q))
+            i = j
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """The row of the periodic-run query, by the definition."""
+    w = words(text)
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs(w)
+    gone = {i for s, size, q in found for i in range(s + q, s + size)}
+    best = min(found, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None, None, None))
+    return (len(found), *best, 1000 * best[1] // best[2] if found else None, sha("".join(f"{s},{size},{q}\n" for s, size, q in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def without_repeats(texts, length):
+    """``(bytes, removed, spans, kept digest)`` of each text, by counting all strings of ``length`` bytes."""
+    raws = [(t or "").encode() for t in texts]
+    counts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        mask = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if counts[r[i : i + length]] > 1:
+                mask[i : i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(r)) if mask[i] and not (i and mask[i - 1]))
+        out.append((len(r), sum(mask), spans, hashlib.sha256(bytes(b for b, m in zip(r, mask, strict=True) if not m)).hexdigest()))
+    return out
