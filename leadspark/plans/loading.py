@@ -321,7 +321,7 @@ def confidence_levels(t):
     return counts.select("adset_id", eco.confidence_level(c("n"), F.lit(7)).alias("level"))
 
 
-@query("budgets_and_goals", sql("""SELECT adset_id, report_start, CASE WHEN adset_id % 4 = 0 THEN 12.5 WHEN adset_id % 4 = 1 THEN 0.0 END AS daily_budget, CASE WHEN adset_id % 4 = 2 THEN 300.0 END AS lifetime_budget,
+@query("budgets_and_goals", sql("""SELECT adset_id, report_start, CASE WHEN adset_id % 4 = 0 THEN 12.5::DOUBLE WHEN adset_id % 4 = 1 THEN 0.0::DOUBLE END AS daily_budget, CASE WHEN adset_id % 4 = 2 THEN 300.0::DOUBLE END AS lifetime_budget,
   adset_id % 4 IN (0, 2) AS has_campaign_budget, CASE WHEN adset_id % 3 = 0 THEN 'LeadQualified' ELSE optimization_goal END AS goal FROM adset_rows"""))
 def budgets_and_goals(t):
     """Budgets in cents, some unreadable; the promoted event before the optimisation goal."""
