@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import economics as eco
 from ..functions import text as tx
 from ..functions import utm as u
@@ -13,7 +14,7 @@ from ..functions.contact import gender_code
 from ..functions.dates import epoch_seconds
 from ..functions.deciles import decile_number
 from ..operators import columns as col
-from ..operators import compare, costs, profile
+from ..operators import compare, costs, metrics, profile
 from ..operators import events as ev
 from ..operators import utm as names
 from ..session import checkpoint_dir
@@ -403,3 +404,36 @@ def captures_appended(t):
 def scores_at_rows(t):
     scores = t.scored.filter("lead_id % 3 <> 0").select(c("lead_id").alias("row_id"), "lead_score", c("decile").cast("int").alias("decile"))
     return sinks.scores_to_rows(t.leads.select(c("lead_id").alias("row_id"), "email"), scores).select("row_id", "email", "lead_score", "decile")
+
+
+# -- campaigns known by their id ------------------------------------------------------------------
+
+@query("campaign_ids_named", sql("""SELECT lead_id, CASE WHEN lead_id % 3 = 0 THEN coalesce(n, right(campaign, 18)) ELSE campaign END AS campaign
+FROM leads LEFT JOIN (SELECT campaign_id, min(campaign_name) AS n FROM ad_costs GROUP BY 1) d ON d.campaign_id = right(campaign, 18)"""))
+def campaign_ids_named(t):
+    """Bare campaign ids replaced by the campaign's name; all other texts stay."""
+    bare = F.when(c("lead_id") % 3 == 0, F.concat(F.lit(" "), F.right("campaign", F.lit(18)))).otherwise(c("campaign"))
+    out = names.name_ids(t.leads.select("lead_id", bare.alias("campaign")), t.ad_costs.select("campaign_id", "campaign_name").distinct())
+    return out.select("lead_id", F.trim("campaign").alias("campaign"))
+
+
+@query("leads_imputed", sql("""SELECT adset_id, CASE WHEN adset_id = 3 AND q > 0 THEN floor(q / r) ELSE n END AS leads FROM (
+  SELECT adset_id, CAST(CASE WHEN adset_id = 3 THEN 0 ELSE count(*) END AS DOUBLE) AS n, CAST(count(*) FILTER (ad_id % 3 = 0) AS DOUBLE) AS q FROM ad_costs GROUP BY 1),
+  (SELECT sum(q) / sum(n) AS r FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (ad_id % 3 = 0) AS DOUBLE) AS q FROM ad_costs WHERE adset_id <> 3 GROUP BY adset_id) WHERE n > 0 AND q > 0)"""))
+def leads_imputed(t):
+    """A campaign whose lead event does not fire gets leads from the others' ratio of qualified leads."""
+    stats = t.ad_costs.groupBy("adset_id").agg(F.count("*").cast("double").alias("n"), F.count_if(c("ad_id") % 3 == 0).cast("double").alias("lead_qualified"))
+    named = F.concat(F.lit("Campaign | x |1"), F.lpad(c("adset_id").cast("string"), 14, "0"))
+    stats = stats.select("adset_id", named.alias("campaign"), F.when(c("adset_id") != 3, c("n")).otherwise(0.0).alias("leads"), "lead_qualified")
+    out = metrics.impute_leads(stats, Settings(impute_lead_ids=("1" + "3".rjust(14, "0"),)))
+    return out.select("adset_id", c("leads").cast("double").alias("leads"))
+
+
+@query("refined_groups", sql(f"""SELECT lead_id, CASE WHEN lead_id % 2 = 0 AND lead_id % 50 < 10 THEN 'Listed ' || (lead_id % 50) WHEN ml_type = 'SEM_ML' THEN '{compare.CONTROL}' ELSE '{compare.EVENTS}' END AS comparison_group FROM leads"""))
+def refined_groups(t):
+    """A lead's group by its captured campaign id, else by its class."""
+    meta = F.when(c("lead_id") % 2 == 0, F.concat(F.lit("1"), F.lpad((c("lead_id") % 50).cast("string"), 14, "0"), F.lit("999")))
+    leads = t.leads.select("lead_id", "campaign", u.campaign_class(c("campaign")).alias("ml_type"), meta.alias("campaign_id_meta"))
+    groups = t.leads.filter("lead_id % 50 < 10").select((c("lead_id") % 50).alias("k")).distinct()
+    groups = groups.select(F.concat(F.lit("1"), F.lpad(c("k").cast("string"), 14, "0")).alias("id15"), F.concat(F.lit("Listed "), "k").alias("comparison_group"))
+    return compare.with_refined_group(leads, groups).select("lead_id", "comparison_group")
