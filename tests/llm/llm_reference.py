@@ -69,6 +69,20 @@ def near_components(texts):
     return {i: (format(fp[i], "016x"), comp[i]) for i in ids}
 
 
+def similar_components(texts, limit, keys):
+    """``{id: smallest id}``: 128-bit fingerprints of five-word shingles link at ``limit`` bits if their ``keys`` meet."""
+    fp = {}
+    for i, t in texts.items():
+        w = words(t.translate(LOWER))
+        shingles = [" ".join(w[j : j + 5]) for j in range(len(w) - 4)] or [" ".join(w)]
+        h = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in shingles] if w else []
+        fp[i] = sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    own = {i: keys(v >> 64) for i, v in fp.items()}
+    ids = sorted(fp)
+    linked = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fp[a] ^ fp[b]).bit_count() <= limit and own[a] & own[b]]
+    return components(ids, linked)
+
+
 def statistics(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words by their definitions."""
     w = words(text)

@@ -5,6 +5,7 @@ import random
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ PER_ROW = {
     "secrets": lambda d: secrets.find_secrets(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "scores": ppm.score_documents,
     "quality": quality.judged,
-    "near": simhash.near_groups,
+    "near": simhash.near_groups, "similar": lambda docs: simhash.near_groups(docs, 0.8),
     "exact": exact_dedup.exact_groups,
     "urls": lambda d: url_filter.url_verdicts(d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url"), url_filter.rule_table(d.sparkSession)),
 }
@@ -176,7 +177,9 @@ def test_pipeline_against_plain_version(spark):
         best[text] = max(best.get(text, -1), r.doc_id)
     assert sorted(r.doc_id for r in after) == sorted(best.values())
     before, after = kept["near dedup"]
-    assert {r.doc_id for r in after} == {c for _, c in ref.near_components({r.doc_id: r.text for r in before}).values()}
+    keys = lambda fp: set(simhash.golay_keys(np.array([fp], np.uint64))[1].tolist())
+    groups = ref.similar_components({r.doc_id: r.text for r in before}, simhash.link_bits(corpus_pipeline.SIMILARITY), keys)
+    assert {r.doc_id for r in after} == set(groups.values())
     before, after = kept["source mix"]
     times, size, source = Counter(r.doc_id for r in after), {r.doc_id: len(ref.words(r.text)) for r in before}, {r.doc_id: r.source for r in before}
     total, taken = Counter(), Counter()

@@ -1,6 +1,7 @@
 """Each operator against a plain version, an exact round trip or SQL."""
 
 import os
+import random
 import sys
 import unicodedata
 import zlib
@@ -326,6 +327,42 @@ def test_near_groups(spark, documents):
     assert got == ref.near_components({i: r.text for i, r in documents.items()})
 
 
+def golay_key_set(fp):
+    return set(simhash.golay_keys(np.array([fp], np.uint64))[1].tolist())
+
+
+def test_similar_groups(spark, documents):
+    """Links by similarity against all pairs, with edited copies of the documents beside them."""
+    rng = random.Random(2)
+    texts = {i: r.text or "" for i, r in list(documents.items())[:250]}
+    for i, text in list(texts.items()):
+        w = text.split()
+        for place in rng.sample(range(len(w)), min(len(w), rng.randint(0, 6))):
+            w[place] = "edited"
+        texts[i + 10**6] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, 0.8).collect()}
+    assert got == ref.similar_components(texts, simhash.link_bits(0.8), golay_key_set)
+
+
+def test_similar_pairs_are_found():
+    """Shares of pairs found by similarity of their five-word shingles, and of pairs of half that."""
+    rng = random.Random(7)
+    limit, found = simhash.link_bits(0.8), {}
+    for _ in range(1200):
+        a = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        b = list(a)
+        for place in rng.sample(range(300), rng.choice((1, 2, 6, 40))):
+            b[place] = "edited"
+        x, y = ({tuple(t[i : i + 5]) for i in range(296)} for t in (a, b))
+        left, right = (simhash.similar_fingerprint(" ".join(t)) for t in (a, b))
+        hit = (left ^ right).bit_count() <= limit and bool(golay_key_set(left >> 64) & golay_key_set(right >> 64))
+        found.setdefault(int(len(x & y) / len(x | y) * 20) / 20, []).append(hit)
+    share = {j: sum(v) / len(v) for j, v in found.items() if len(v) > 50}
+    assert share[0.9] > 0.85 and share[0.95] > 0.93 and min(v for j, v in share.items() if j >= 0.75) > 0.5
+    assert not any(any(v) for j, v in found.items() if j < 0.45)
+
+
 def test_near_groups_of_dense_clusters(spark):
     """Chains and balls of fingerprints, where the classes of the first pass are not yet whole."""
     rng = np.random.default_rng(5)
