@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from leadspark.llm import exact_dedup, mixing, packing, quality, simhash
 from leadspark.llm.common import folder, ready, table
 
+#: Jaccard similarity of five-word shingles from which two texts are near copies.
+SIMILARITY = 0.8
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -28,9 +31,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of texts with similar five-word shingles the document with the smallest id stays."""
     ready(spark)
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(docs, SIMILARITY)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
