@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..session import checkpoint_dir
 from .joins import left_lookup
 
 
+#: Parts that equally used creatives are dealt to; those of one part are not told apart.
+TIE_PARTS = 1024
+#: Scores down to which a campaign's best controls are looked for first.
+LEVELS = (0.97, 0.94, 0.9, 0.85)
+
+
 def campaign_metadata(campaigns: DataFrame, adsets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Spend and budget per campaign: daily or lifetime budget, else the sum of its adsets'."""
     own = F.coalesce(
@@ -39,7 +50,8 @@ def fair_controls(treated: DataFrame, controls: DataFrame, creatives: DataFrame,
 
     A prefix filter keeps the join small and exact: two sets that share at least the wanted
     fraction must meet within the first ``size - needed + 1`` creatives of either, ordered
-    from rare to common. The budget band is checked before overlaps are counted.
+    from rare to common, equally rare ones by a hash. The budget band is checked before
+    overlaps are counted.
     """
     tolerance, wanted = settings.budget_tolerance, settings.creative_overlap
     sides = treated.select("campaign_id", "budget", F.lit(True).alias("is_treated")).unionByName(
@@ -47,7 +59,8 @@ def fair_controls(treated: DataFrame, controls: DataFrame, creatives: DataFrame,
     )
     owned = creatives.join(sides, "campaign_id")
     size = owned.groupBy("campaign_id").agg(F.count("*").alias("size"))
-    frequency = owned.groupBy("creative_id").agg(F.count("*").alias("used"))
+    # equally used creatives are told apart by a hash, so sets that all hold the same ones have short prefixes too
+    frequency = owned.groupBy("creative_id").agg(F.count("*").alias("used")).withColumn("used", F.struct("used", F.pmod(F.xxhash64("creative_id"), F.lit(TIE_PARTS)).alias("part")))
     ranked = owned.join(frequency, "creative_id").join(size, "campaign_id")
     # of two sets A, B: |A n B| >= wanted * max(|A|, |B|) >= wanted * own size. The cut is made
     # on how often a creative is used (ties stay in), so no campaign's set is gathered.
@@ -80,5 +93,48 @@ def fair_controls(treated: DataFrame, controls: DataFrame, creatives: DataFrame,
     )
 
 
+def best_controls(
+    treated: DataFrame, controls: DataFrame, creatives: DataFrame, k: int, settings: Settings = DEFAULTS, levels: tuple[float, ...] = LEVELS
+) -> DataFrame:
+    """The ``k`` best of ``fair_controls`` for each treated campaign, with their ``rank``: by score, then ``control_id``.
+
+    A score is the product of two numbers up to one, so a pair that scores at least ``x`` shares at
+    least ``x`` of its creatives and differs in budget by at most ``1 - x``. The search falls through
+    ``levels``: short prefixes and a narrow budget band first. A campaign that has met ``k`` pairs
+    scoring the level or more leaves with its answer, so its many weaker pairs are never listed.
+    The last level is the full search, for the campaigns still without ``k``.
+    """
+    spark = treated.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/controls-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{label}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+
+    order = Window.partitionBy("campaign_id").orderBy(F.desc("score"), "control_id")
+    rest, found = stored(treated.select("campaign_id", "budget"), "rest-0"), []
+    wanted, tolerance = settings.creative_overlap, settings.budget_tolerance
+    steps = [*(x for x in sorted(levels, reverse=True) if x > wanted), None]
+    for number, level in enumerate(steps):
+        if level is None:
+            pairs = fair_controls(rest, controls, creatives, settings)
+        else:
+            # a hair wider than the bound, so that rounding loses no pair; the filter is exact
+            near = replace(settings, creative_overlap=level, budget_tolerance=min(tolerance, 1 - level + 1e-9))
+            pairs = fair_controls(rest, controls, creatives, near).filter(F.col("score") >= level)
+        # at most k rows of a campaign stay in each task before they meet
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = stored(ranked, f"best-{number}")
+        if level is None:
+            found.append(best)
+            break
+        done = best.filter(F.col("rank") == k).select("campaign_id")
+        found.append(best.join(done, "campaign_id", "left_semi"))
+        rest = stored(rest.join(done, "campaign_id", "left_anti"), f"rest-{number + 1}")
+        if not rest.take(1):
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def control_candidates(metadata: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return metadata.join(model_campaigns(metadata, settings).select("campaign_id"), "campaign_id", "left_anti")

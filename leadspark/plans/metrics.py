@@ -305,6 +305,30 @@ def fair_controls(t):
     return out.withColumn("overlap_pct", F.round("overlap_pct", 6)).withColumn("score", F.round("score", 9))
 
 
+_SUPPLIER_CREATIVES = """meta AS (SELECT l_suppkey AS k, sum(l_quantity) AS budget FROM lineitem GROUP BY 1),
+owned AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 41 AS creative FROM lineitem),
+sizes AS (SELECT k, count(*) AS n FROM owned GROUP BY 1)"""
+
+
+@query(
+    "best_controls",
+    sql("""SELECT campaign_id, control_id, overlap, round(fraction * 100, 6) AS overlap_pct, round(score, 9) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY score DESC, control_id) AS rank FROM (
+    SELECT *, (1 - gap) * fraction AS score FROM (
+      SELECT t.k AS campaign_id, c.k AS control_id, abs(t.budget - c.budget) / t.budget AS gap, o.overlap, o.overlap / greatest(st.n, sc.n) AS fraction
+      FROM meta t JOIN meta c ON t.k % 2 = 0 AND c.k % 2 = 1 JOIN sizes st ON t.k = st.k JOIN sizes sc ON c.k = sc.k
+      JOIN (SELECT a.k AS x, b.k AS y, count(*) AS overlap FROM owned a JOIN owned b ON a.creative = b.creative GROUP BY 1, 2) o ON o.x = t.k AND o.y = c.k)
+    WHERE gap <= 0.3 AND fraction >= 0.8)) WHERE rank <= 3""", _SUPPLIER_CREATIVES),
+)
+def best_controls(t):
+    """The three best controls of each supplier with an even key, among those with an odd one."""
+    rows = t.read("lineitem")
+    meta = rows.groupBy(F.col("l_suppkey").alias("campaign_id")).agg(F.sum("l_quantity").alias("budget"))
+    owned = ctl.creative_sets(rows.select(F.col("l_suppkey").alias("campaign_id"), (F.col("l_partkey") % 41).alias("creative_id")))
+    out = ctl.best_controls(meta.filter("campaign_id % 2 = 0"), meta.filter("campaign_id % 2 = 1"), owned, 3, Settings())
+    return out.withColumn("overlap_pct", F.round("overlap_pct", 6)).withColumn("score", F.round("score", 9))
+
+
 @query(
     "budget_metadata",
     sql("""SELECT campaign_id, min(campaign_name) AS campaign_name, sum(spend) AS spend,

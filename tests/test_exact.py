@@ -200,6 +200,30 @@ def test_fair_controls_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_best_controls_equal_full_search(spark):
+    """Every k, with campaigns that leave at each level or never, equal scores and equally used creatives."""
+    rng = random.Random(8)
+    base = {b: set(rng.sample(range(200), 40)) for b in range(4)}
+    sets, budgets = {}, {}
+    for c in range(60):
+        own = sorted(base[c % 4])
+        sets[c] = set(own[rng.choice((0, 0, 1, 3, 6)):]) if c != 59 else {999}
+        budgets[c] = float(rng.choice((100, 100, 101, 108, 125)))
+    owned = spark.createDataFrame([(k, c) for k, s in sets.items() for c in s], "campaign_id int, creative_id int")
+    meta = spark.createDataFrame(list(budgets.items()), "campaign_id int, budget double")
+    treated, others = meta.filter("campaign_id < 20 OR campaign_id = 59"), meta.filter("campaign_id BETWEEN 20 AND 58")
+    full = {}
+    for r in controls.fair_controls(treated, others, owned, Settings()).collect():
+        full.setdefault(r["campaign_id"], []).append((-r["score"], r["control_id"]))
+    assert sorted(full) == list(range(20))
+    for k in (1, 3, 1000):
+        got = {}
+        for r in controls.best_controls(treated, others, owned, k, Settings()).collect():
+            got.setdefault(r["campaign_id"], []).append((r["rank"], -r["score"], r["control_id"]))
+        assert {c: [row[1:] for row in sorted(rows)] for c, rows in got.items()} == {c: sorted(rows)[:k] for c, rows in full.items()}
+    assert controls.best_controls(treated.limit(0), others, owned, 2, Settings()).collect() == []
+
+
 def test_split_by_leads_with_ties(spark):
     rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)) for i, d in enumerate([0] * 5 + [1] * 10 + [2] * 5)]
     df = spark.createDataFrame([(i, t.to_pydatetime()) for i, t in rows], "lead_id int, captured_at timestamp_ntz")
