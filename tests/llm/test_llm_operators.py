@@ -327,6 +327,20 @@ def test_near_groups(spark, documents):
     assert got == ref.near_components({i: r.text for i, r in documents.items()})
 
 
+def test_secret_recall_by_length():
+    """Shares of random strings found, from the least length on; words and times are no secrets."""
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = lambda t, least=secrets.LEAST_LENGTH: secrets.random_spans(t, encoding, [], least)
+    rng, lower = random.Random(1), "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, lengths in ((lower + lower.upper() + "0123456789", (16, 19, 24)), (lower + "0123456789", (16, 24)), (lower, (20, 32)), (lower.upper(), (20, 32))):
+        for n in lengths:
+            strings = ["".join(rng.choices(alphabet, k=n)) for _ in range(400)]
+            share = sum(found(f"it is {t} here") == [(6, "random", 6 + n)] for t in strings) / 400
+            assert share > (0.85 if alphabet == lower else 0.95), (alphabet, n)
+    assert not any(found(t) for t in ("Verantwortungsbewusstsein", "2024-01-02T03-04-05-123456", "2024-01-02T03-04-05Z", "einpfauaueinchpf", "x7Kq9Zt2Lw4Rv8B"))
+    assert found("x7Kq9Zt2Lw4Rv8B", 12) == [(0, "random", 15)]
+
+
 def golay_key_set(fp):
     return set(simhash.golay_keys(np.array([fp], np.uint64))[1].tolist())
 
