@@ -101,7 +101,12 @@ def one_of_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts: the one with the largest doc_id."""
+    """``docs`` with one row of each group of equal texts: the one with the largest doc_id.
+
+    A null text is empty and equals other empty ones. A null doc_id is less than any other; of rows
+    that repeat id and text one stays. Texts of any length are compared as a whole. An empty table
+    stays empty; all columns are kept.
+    """
     normal = lower_ascii(text_or_empty())
     rows = saved(identities(docs, normal, {"k_id": F.col("doc_id").cast("long"), "k_hash": F.xxhash64(text_or_empty())}), "identities")
     best = rows.groupBy("level", "name").agg(F.max(F.struct("k_id", "row", "k_hash")).alias("best"))

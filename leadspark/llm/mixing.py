@@ -211,7 +211,11 @@ def with_copies(docs: DataFrame, decisions: DataFrame, *columns: str) -> DataFra
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it.
+
+    A null text has size zero; a null source is a source of its own. Rows that repeat id, source and text are
+    taken together, very long documents as a whole. An empty table stays empty; all columns are kept.
+    """
     (copies,) = fresh(docs, "copies")
     taken = with_copies(docs, mixed(docs, weights, share, most).withColumnRenamed("copies", copies), copies).filter(F.col(copies) > 0)
     (again,) = fresh(taken, "again")
