@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, remove
 from . import deciles as dec
 from .columns import clean_production_columns, drop_campaign_columns, drop_technical, rename_long, unify_categories
 from .encode import Encoder, align_features, feature_categories
@@ -78,24 +82,39 @@ GRIDS = {
 
 def tune(
     train: DataFrame, test: DataFrame, features: list[str], grid: dict, target: str = "target",
-    baseline: dict | None = None, min_gain: float = 0.003,
+    baseline: dict | None = None, min_gain: float = 0.003, parallel: int = 4,
 ) -> tuple[dict, list[tuple[dict, float]]]:
     """Grid search on a fixed (time) split by AUC. The best setting is returned only if it
-    beats the baseline by ``min_gain`` relative; else the baseline is."""
-    train, test = train.persist(), test.persist()
-
-    def score(params: dict) -> float:
-        scored = predict(fit_forest(train, features, target, params), test)
+    beats the baseline by ``min_gain`` relative; else the baseline is.
+
+    Both parts are written once and read by every fit. ``parallel`` fits run at the same time,
+    each in a scheduler pool of its own, so that with ``spark.scheduler.mode`` FAIR the small last
+    stages of one fit leave no executor idle. A fit depends on its setting and seed only, so
+    neither the number of fits at a time nor their order changes the winner (ties: the first).
+    """
+    spark = train.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
+    columns = [*features, target]
+    for part, df in (("train", train), ("test", test)):
+        df.select(*columns).write.parquet(f"{folder}/{part}")
+    stored = {part: spark.read.parquet(f"{folder}/{part}") for part in ("train", "test")}
+
+    def score(job: tuple[int, dict]) -> float:
+        number, params = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"grid-{number % parallel}")
+        scored = predict(fit_forest(stored["train"], features, target, params), stored["test"])
         return dec.auc(scored, "lead_score", target).first()["auc"] or 0.0
 
+    settings = [dict(zip(grid, combo, strict=True)) for combo in itertools.product(*grid.values())]
+    settings.append(dict(baseline or {}))
     try:
-        names = list(grid)
-        tried = [(dict(zip(names, combo)), None) for combo in itertools.product(*grid.values())]
-        tried = [(params, score(params)) for params, _ in tried]
-        base = score(baseline or {})
+        with ThreadPoolExecutor(parallel) as pool:
+            # a thread starts with the caller's local properties and keeps its own pool
+            scores = list(pool.map(inheritable_thread_target(spark)(score), enumerate(settings)))
     finally:
-        train.unpersist()
-        test.unpersist()
+        remove(spark, folder)
+    base = scores.pop()
+    tried = list(zip(settings[:-1], scores, strict=True))
     best, top = max(tried, key=lambda r: r[1])
     return (best if top > base * (1 + min_gain) else dict(baseline or {})), tried
 

@@ -47,9 +47,11 @@ def derived_features(t):
     return out.select("lead_id", "dia_semana", "nome_comprimento", *feat.FLAGS, "telefone_comprimento")
 
 
-def _model_frames(t):
-    """Encoded leads split by time, and the encoder fitted on the training part."""
+def _model_frames(t, target=None):
+    """Encoded leads split by time, and the encoder fitted on the training part. ``target`` replaces conversion."""
     base = link.target_by_email_or_phone(names.with_class(t.leads), t.sales)
+    if target is not None:
+        base = base.withColumn("target", target)
     split = sp.split_by_leads(feat.derive_features(base, "captured_at", "name", "email_raw", "phone_raw", keep_raw=True))
     inputs = ("dia_semana", "nome_comprimento", *feat.FLAGS, "telefone_comprimento", "term", "medium", "ml_type")
     shaped = names.unify_term(split)
@@ -88,6 +90,39 @@ def rf_metrics(t):
     )
 
 
+# A target that the weekday of the capture decides but for noise by lead.
+_WEEKDAY_TARGET = "CAST((lead_id * 7919) % 100 < 5 + 12 * {weekday} AS INT)"
+_WEEKDAY = f"""w AS (SELECT isodow(captured_at) - 1 AS day, {_WEEKDAY_TARGET.format(weekday="(isodow(captured_at) - 1)")} AS target FROM halves WHERE split = 'test'),
+per AS (SELECT day, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg FROM w GROUP BY day),
+best AS (SELECT sum(a.pos * (coalesce((SELECT sum(b.neg) FROM per b WHERE b.day < a.day), 0) + a.neg / 2.0)) / (sum(a.pos) * sum(a.neg)) AS auc FROM per a)"""
+
+
+@query(
+    "grid_search",
+    sql("""SELECT trees AS num_trees, depth AS max_depth, (SELECT count(*) FROM w) AS leads, (SELECT CAST(sum(target) AS BIGINT) FROM w) AS conversions,
+  round(auc, 9) AS weekday_auc, auc > 0.6 AS learned FROM best, (VALUES (200), (300), (400)) a(trees), (VALUES (8), (10)) b(depth)""", f"{_SPLIT},\n{_WEEKDAY}"),
+)
+def grid_search(t):
+    """The whole small grid on a target that the features explain: whether each forest ranks the later leads
+    over 0.6 and within 0.1 of the weekday itself, which no score can beat by more than chance."""
+    target = F.expr(_WEEKDAY_TARGET.format(weekday="weekday(captured_at)"))
+    encoder, train, test = _model_frames(t, target)
+    _, tried = ml.tune(train, test, encoder.contract, ml.GRIDS["small"], baseline={"numTrees": 300, "maxDepth": 8})
+    later = _later_weekdays(t, target)
+    best = dec.auc(later, "weekday", "target").select(F.round("auc", 9).alias("weekday_auc"))
+    counts = later.agg(F.count("*").alias("leads"), F.sum("target").cast("long").alias("conversions"))
+    rows = t.spark.createDataFrame([(p["numTrees"], p["maxDepth"], auc) for p, auc in tried], "num_trees int, max_depth int, auc double")
+    one = counts.crossJoin(best)  # one row each
+    learned = (F.col("auc") > 0.6) & (F.col("auc") > F.col("weekday_auc") - 0.1)
+    return rows.crossJoin(F.broadcast(one)).withColumn("learned", learned).drop("auc")
+
+
+def _later_weekdays(t, target):
+    """Weekday and target of the later 30 % of leads."""
+    split = sp.split_by_leads(t.leads).filter("split = 'test'")
+    return split.select(F.expr("weekday(captured_at)").cast("double").alias("weekday"), target.alias("target"))
+
+
 _EVENTS = """caps AS (SELECT email, arg_min(id, (NOT coalesce(first_name <> '', false), id)) AS id FROM captures WHERE email IS NOT NULL GROUP BY email),
 c AS (SELECT captures.* FROM captures JOIN caps USING (id)),
 enriched AS (SELECT s.email, s.phone, s.decile, s.lead_score, coalesce(c.event_id, 'lead_1706659200_' || substr(sha256(s.email), 1, 16)) AS event_id,

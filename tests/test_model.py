@@ -121,6 +121,8 @@ def test_tune(spark, scorer):
     grid = {"numTrees": (3,), "maxDepth": (1, 3)}
     best, tried = model.tune(encoded.filter("row_id < 'r3'"), encoded.filter("row_id >= 'r3'"), made.encoder.contract, grid, baseline={"numTrees": 3, "maxDepth": 1})
     assert len(tried) == 2 and best["numTrees"] == 3
+    alone = model.tune(encoded.filter("row_id < 'r3'"), encoded.filter("row_id >= 'r3'"), made.encoder.contract, grid, baseline={"numTrees": 3, "maxDepth": 1}, parallel=1)
+    assert alone == (best, tried)
     assert [len([1 for _ in range(1)]) * len(v) for v in model.GRIDS["large"].values()] == [4, 4, 3, 2]
 
 
