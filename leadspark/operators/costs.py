@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import utm as u
 from ..functions.text import strip
+from ..session import stored
 from .fuzzy import best_matches
 from .joins import left_lookup
 
@@ -200,8 +201,11 @@ def spend_of_values(values: DataFrame, ads: DataFrame, level: str, threshold: fl
 
     ``values`` has a column ``value``. A value whose earlier steps gave 0 goes on to the
     next. Among similar names the most similar wins (ties: first in text order).
+    The level's totals and the values are written once, however many steps look at them.
     """
-    totals = spend_by_level(ads).filter(F.col("level") == level)
+    values = stored(values, "spend-values")
+    own = [c for c in ads.columns if c in (f"{level}_id", f"{level}_name", "spend")]
+    totals = stored(spend_by_level(ads.select(*own)), "spend-totals")
     by = lambda how, to: totals.filter(F.col("by") == how).select(F.col("value").alias("_k"), F.col("spend").alias(to))
     out = values.withColumn("_id", u.utm_id(F.col("value")))
     out = left_lookup(left_lookup(out, by("id", "_by_id"), "_id", "_k"), by("name", "_by_name"), "value", "_k")
@@ -229,8 +233,11 @@ def spend_of_values(values: DataFrame, ads: DataFrame, level: str, threshold: fl
 
 def spend_of_campaign_values(values: DataFrame, ads: DataFrame, threshold: float = DEFAULTS.adset_similarity) -> DataFrame:
     """Spend of full campaign UTM values: the adset named inside it (exact, else the most
-    similar in that campaign), else the whole campaign."""
-    tables = hierarchy(ads)
+    similar in that campaign), else the whole campaign.
+
+    The values and both tables of spend are written once, however many steps look at them."""
+    values = stored(values, "spend-values")
+    tables = {level: stored(df, f"spend-{level}") for level, df in hierarchy(ads).items() if level != "ad"}
     campaigns = tables["campaign"].select(
         F.col("campaign_id").cast("string").alias("_k"),
         F.struct("spend", *[c for c in ("has_campaign_budget",) if c in tables["campaign"].columns]).alias("_campaign"),
@@ -272,15 +279,18 @@ def spend_of_ad_values(
     """Spend of ad values: ad id, else equal name (case ignored), else the most similar name.
 
     A name borne by several ads takes the spend of the first by campaign, adset and ad id.
-    With ``extra`` (such as a period) both sides are matched within it.
+    With ``extra`` (such as a period) both sides are matched within it. The values and the spend
+    of each ad are written once, however many steps look at them.
     """
-    per_ad = hierarchy(ads, extra)["ad"]
+    values = stored(values, "spend-values")
+    per_ad = stored(hierarchy(ads, extra)["ad"], "spend-ad")
     order = F.struct("campaign_id", "adset_id", "ad_id")
     tag = lambda c: F.concat_ws("\u0001", *extra, c)
     ids = per_ad.groupBy(tag(F.col("ad_id").cast("string")).alias("_k")).agg(F.min_by("spend", order).alias("_by_id"))
     names = per_ad.filter("ad_name IS NOT NULL").groupBy(*extra, F.lower("ad_name").alias("_name")).agg(
         F.min_by("spend", order).alias("_spend")
     )
+    names = stored(names, "spend-names")
     by_name = names.select(tag("_name").alias("_k"), F.col("_spend").alias("_by_name"))
     key = lambda c: F.when(c.isNotNull(), tag(c))
     out = values.withColumn("_name", F.lower(F.col("value").cast("string")))

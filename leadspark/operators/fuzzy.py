@@ -11,13 +11,12 @@ to common, two strings that share c tokens must already meet within their first
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_at_least
-from ..session import checkpoint_dir
+from ..session import stored
 
 
 def _limits(t: float) -> tuple[int, int]:
@@ -105,33 +104,26 @@ def best_matches(
     Equal names are joined first; the rest is searched at falling thresholds. A level lists all
     pairs at or above it, so a value that meets anything there has met its best and leaves the search:
     the bound rises to what it found, and its many weaker pairs are never made. The ratio depends on
-    the order of its two texts: the value comes first, or with ``names_first`` the name. Each level
-    is written before the next one starts.
+    the order of its two texts: the value comes first, or with ``names_first`` the name. Names and
+    values are written once, each level before the next one starts, so their sources are read once.
     """
-    spark = values.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/matches-{uuid.uuid4().hex}"
     group = [within] if within else []
     keys = [*group, "value"]
-    table = names.select(*group, F.col(name_col).alias("name")).filter("name IS NOT NULL").distinct()
-    rest = values.select(*group, F.col(value_col).alias("value")).filter("value IS NOT NULL").distinct()
-
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{label}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
-
+    table = stored(names.select(*group, F.col(name_col).alias("name")).filter("name IS NOT NULL").distinct(), "match-names")
+    rest = stored(values.select(*group, F.col(value_col).alias("value")).filter("value IS NOT NULL").distinct(), "match-values")
     equal = rest.join(table.withColumn("value", F.col("name")), keys).select(*keys, "name", F.lit(1.0).alias("ratio"))
     found = [equal]
     rest = rest.join(equal.select(*keys), keys, "left_anti")
     for number, level in enumerate([*(x for x in sorted(levels, reverse=True) if x > threshold), threshold]):
-        rest = stored(rest, f"rest-{number}")
+        rest = stored(rest, f"match-rest-{number}")
         if not rest.take(1):
             break
         if names_first:
             pairs = similar_pairs(table, rest, "name", "value", level, within).withColumnsRenamed({"left": "name", "right": "value"})
         else:
             pairs = similar_pairs(rest, table, "value", "name", level, within).withColumnsRenamed({"left": "value", "right": "name"})
-        pairs = stored(pairs.select(*keys, "name", "ratio"), f"pairs-{number}")
-        best = stored(pairs.join(pairs.groupBy(*keys).agg(F.max("ratio").alias("ratio")), [*keys, "ratio"]).select(*keys, "name", "ratio"), f"best-{number}")
+        pairs = stored(pairs.select(*keys, "name", "ratio"), f"match-pairs-{number}")
+        best = stored(pairs.join(pairs.groupBy(*keys).agg(F.max("ratio").alias("ratio")), [*keys, "ratio"]).select(*keys, "name", "ratio"), f"match-best-{number}")
         found.append(best)
         rest = rest.join(best.select(*keys).distinct(), keys, "left_anti")
     out = found[0]

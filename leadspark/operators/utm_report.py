@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import economics as eco
 from ..functions import utm as u
+from ..session import stored
 from . import costs as cost
 from .deciles import decile_shares, share_columns
 from .joins import left_lookup
@@ -101,6 +102,8 @@ def repair_generic_adsets(leads: DataFrame, ads: DataFrame) -> DataFrame:
 
 def ad_report(leads: DataFrame, ads: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     valid = leads.filter(u.valid_utm(F.col("content")))
+    # read three times: for campaign names, first ads and spend
+    ads = stored(ads.select("period_days", *(f"{level}_{by}" for level in cost.LEVELS for by in ("id", "name")), "spend"), "report-ads")
     names = ads.groupBy(F.col("campaign_id").cast("string").alias("_k")).agg(F.min("campaign_name").alias("campaign_name"))
     named = left_lookup(valid.withColumn("_id", u.utm_id(F.col("campaign"))), names, "_id", "_k").drop("_id")
     named = named.withColumn("campaign_name", F.coalesce("campaign_name", u.campaign_label(F.col("campaign"))))

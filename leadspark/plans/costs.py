@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import CORRECTED_RATES, DECILES, DEFAULTS
 from ..operators import costs as ops
 from ..operators import utm_report as rep
+from ..session import stored
 from ..sources import reports as src
 from .bindings import sql
 from .registry import query
@@ -236,10 +237,11 @@ FROM altered JOIN names USING (ad_name)""", _RESIDUE),
 )
 def fuzzy_residue(t):
     """Spend of altered ad names: some equal, some only similar, some unknown."""
+    ads = stored(t.ads.select("campaign_id", "adset_id", "adset_name", "ad_id", "ad_name", "spend"), "ads")
     key = F.col("ad_id")
     altered = F.when(key % 3 == 0, F.col("ad_name")).when(key % 3 == 1, F.concat("ad_name", F.lit(" v2"))).otherwise(F.reverse("ad_name"))
-    values = t.ads.select(altered.alias("value")).distinct()
-    return ops.spend_of_ad_values(values, t.ads, DEFAULTS.ad_similarity).select("value", "spend", "matched_by")
+    values = ads.select(altered.alias("value")).distinct()
+    return ops.spend_of_ad_values(values, ads, DEFAULTS.ad_similarity).select("value", "spend", "matched_by")
 
 
 _NAMED = """per_name AS (SELECT campaign_id, ad_name, sum(spend) AS spend, (length(ad_name) + CAST(right(campaign_id, 2) AS INT)) % 3 AS kind FROM ads GROUP BY 1, 2),
@@ -256,7 +258,8 @@ def fuzzy_campaign_values(t):
     """Campaign UTM values to the adset they name, exactly or similarly, else the campaign.
 
     Part names stand for adset names; a third of the values is spelt differently, a third backwards."""
-    ads = t.ads.withColumn("adset_name", F.col("ad_name")).withColumn("adset_id", F.col("ad_name"))
+    ads = stored(t.ads.select("campaign_id", "campaign_name", "ad_id", "ad_name", "spend", "has_campaign_budget"), "ads")
+    ads = ads.withColumn("adset_name", F.col("ad_name")).withColumn("adset_id", F.col("ad_name"))
     kind = (F.length("ad_name") + F.right("campaign_id", F.lit(2)).cast("int")) % 3
     named = F.when(kind == 0, F.upper("ad_name")).when(kind == 1, F.concat("ad_name", F.lit("s"))).otherwise(F.reverse("ad_name"))
     text = F.concat(F.lit("DEMO | CAP | FRIO | FASE 01 | "), named, F.lit(" | PG2 | 2024-01-15|"), "campaign_id")
@@ -270,8 +273,9 @@ UNION ALL SELECT campaign_name, sum(spend), 'name' FROM ads GROUP BY campaign_na
 )
 def fuzzy_name_values(t):
     """Spend of campaign-level values by id, by name, by similar name."""
-    nations = t.ads.select(F.concat("campaign_name", F.lit("|42")).alias("value")).union(t.ads.select("campaign_name")).distinct()
-    return ops.spend_of_values(nations, t.ads, "campaign")
+    ads = stored(t.ads.select("campaign_id", "campaign_name", "spend"), "ads")
+    nations = ads.select(F.concat("campaign_name", F.lit("|42")).alias("value")).union(ads.select("campaign_name")).distinct()
+    return ops.spend_of_values(nations, ads, "campaign")
 
 
 @query(

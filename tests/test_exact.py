@@ -263,3 +263,38 @@ def test_best_matches_are_the_best_of_all_pairs(spark, names_first):
             if top >= 0.8:
                 want[g, v] = {(n, s) for s, n in scored if s == top}
     assert got == want
+
+
+def _counted(spark, df):
+    """``df`` and the number of rows that have been taken from it so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_similar_names_read_their_sources_once(spark):
+    names, seen = _counted(spark, spark.createDataFrame([(f"campaign number {n:03d}",) for n in range(40)], "n string"))
+    values, asked = _counted(spark, spark.createDataFrame([(f"campaign numbr {n:03d}",) for n in range(20)] + [("nothing",)], "v string"))
+    assert fuzzy.best_matches(values, names, "v", "n", 0.8).count() >= 20
+    assert (seen.value, asked.value) == (40, 21)
+
+
+def test_best_controls_of_equal_campaigns_are_searched_once(spark, monkeypatch):
+    """400 treated campaigns and 400 controls of two budgets and one set of creatives are two classes each."""
+    owned = spark.range(800).selectExpr("CAST(id AS INT) AS campaign_id", "explode(sequence(1, 5)) AS creative_id")
+    meta = spark.range(800).selectExpr("CAST(id AS INT) AS campaign_id", "CAST(100 + id % 4 DIV 2 AS DOUBLE) AS budget")
+    full, sizes = controls.fair_controls, []
+
+    def watched(treated, others, creatives, settings):
+        sizes.append((treated.count(), others.count()))
+        return full(treated, others, creatives, settings)
+
+    monkeypatch.setattr(controls, "fair_controls", watched)
+    rows = controls.best_controls(meta.filter("campaign_id % 2 = 0"), meta.filter("campaign_id % 2 = 1"), owned, 2, Settings()).collect()
+    assert max(sizes) == (2, 2)
+    assert sorted((r.campaign_id, r.rank, r.control_id) for r in rows) == sorted((c, k + 1, c % 4 + 1 + 4 * k) for c in range(0, 800, 2) for k in range(2))
