@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import actions
-from ..session import checkpoint_dir, children, remove, rename
+from ..session import checkpoint_dir, children, remove, rename, stored
 from ..sources import report_source, upsert
 from .bindings import sql
 from .registry import query
@@ -17,10 +17,17 @@ def _folder(spark, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of a report file; longer reports are several files, each with its headings.
+REPORT_ROWS = 500_000
+
+
 def _write_reports(t, folder: str) -> None:
-    """Adset rows as three files of different headings, and ad rows as one, named as the platform names them."""
+    """Adset rows in files of three different headings, and ad rows in those of one, named as the platform names them.
+
+    A report is as many files as there are tasks that write it, so no task holds a whole report.
+    """
     group = F.substr("campaign_id", F.lit(18)).cast("int") % 3
-    rows, c = t.adset_rows.withColumn("_g", group), F.col
+    rows, c = stored(t.adset_rows.withColumn("_g", group), "report-rows"), F.col
     split = c("adset_id") % 2 == 0
     layouts = [
         {"Nome da campanha": c("campaign_name"), "Identificação da campanha": c("campaign_id"), "Nome do conjunto de anúncios": F.concat(F.lit(" "), F.regexp_replace("adset_name", " ", "  ")),
@@ -34,11 +41,12 @@ def _write_reports(t, folder: str) -> None:
          "Leads": F.when(split, c("leads_standard").cast("string")).otherwise("n/d"), "report_start": c("report_start"), "report_end": c("report_end"), "Nota": F.lit("a,\n\"b\"")},
     ]
     parts = [(rows.filter(c("_g") == k).select(*(v.alias(n) for n, v in layout.items())), f"Ads---Conta-{k}-Conjuntos-de-anúncios-jan.csv") for k, layout in enumerate(layouts)]
-    parts.append((t.ad_rows.select(c("ad_name").alias("Nome do anúncio"), c("ad_id").alias("Identificação do anúncio"), c("spend").alias("Valor usado (BRL)")), "Ads---Conta-0-Anúncios-jan.csv"))
+    parts.append((t.ad_rows.select(c("ad_name").alias("Nome do anúncio"), c("ad_id").alias("Identificação do anúncio"), c("spend").alias("Valor usado (BRL)")), "Ads---Conta-0-Anúncios-jan"))
     for k, (part, name) in enumerate(parts):
-        part.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{folder}/parts/{k}")  # a report is one file
-        (written,) = [n for n in children(t.spark, f"{folder}/parts/{k}") if n.endswith(".csv")]
-        rename(t.spark, f"{folder}/parts/{k}/{written}", f"{folder}/reports/{k % 2}/{name}")
+        part.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", REPORT_ROWS).csv(f"{folder}/parts/{k}")
+        written = [n for n in children(t.spark, f"{folder}/parts/{k}") if n.endswith(".csv")]
+        for number, one in enumerate(written):
+            rename(t.spark, f"{folder}/parts/{k}/{one}", f"{folder}/reports/{k % 2}/{name}-{number}.csv")
     remove(t.spark, f"{folder}/parts")
 
 

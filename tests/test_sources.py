@@ -236,3 +236,16 @@ def test_profiles(spark):
     assert profile.dtype_counts(df) == {"string": 2}
     cube = {(r["source"], r["term"], r["level"]): r["n"] for r in profile.crosstab(df, "source", "term").collect()}
     assert cube[(None, None, 3)] == 4 and cube[("google-ads", None, 1)] == 2
+
+
+def test_long_reports_are_several_files(spark, monkeypatch):
+    from leadspark.plans import intake
+    from leadspark.plans.bindings import Tables
+    from leadspark.session import children
+
+    monkeypatch.setattr(intake, "REPORT_ROWS", 50)
+    folder = intake._folder(spark, "reports")
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    intake._write_reports(tables, folder)
+    assert len([n for n in children(spark, f"{folder}/reports/1") if "Conta-1" in n]) > 1
+    assert report_source.read_reports(spark, f"{folder}/reports", "adset").count() == tables.adset_rows.count()
