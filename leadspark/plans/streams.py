@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.errors import StreamingQueryException
@@ -9,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CORRECTED_RATES, DECILES
-from ..session import checkpoint_dir, remove
+from ..session import checkpoint_dir, remove, stored
 from ..streaming import keyed
 from .bindings import sql
 from .registry import query
 
-#: Batches that the streams are fed in.
-FEEDS = 5
+#: Batches that the streams are fed in, and rows of a file, of which a batch has two or more.
+FEEDS, FILE_ROWS = 5, 250_000
 
 
 def _folder(spark) -> str:
@@ -25,16 +26,18 @@ def _folder(spark) -> str:
 def _feed(rows: DataFrame, path: str, arrival, edges: list, last: DataFrame | None = None) -> DataFrame:
     """Rows written in ranges of their arrival, one after another, and read as a stream of so many batches.
 
-    A range's files hold whole e-mails, so a batch may end within a range.
+    A range's files hold whole e-mails, so a batch may end within a range. ``rows`` is read
+    for each range, so it should be a written table; a range has as many files as its rows need.
     """
     spark = rows.sparkSession
+    files = max(2, math.ceil(rows.count() / FEEDS / FILE_ROWS))
     for k, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
         part = rows if low is None else rows.filter(arrival >= low)
         part = part if high is None else part.filter(arrival < high)
-        part.repartition(2, "email").write.parquet(f"{path}/feed={k}")
+        part.repartition(files, "email").write.parquet(f"{path}/feed={k}")
     if last is not None:
         last.coalesce(1).write.parquet(f"{path}/feed={len(edges) + 1}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.select(*rows.columns)
 
 
@@ -96,10 +99,10 @@ def stream_daily_events(t):
     """Leads and captures both streamed out of order, captures up to a day after their lead."""
     folder = _folder(t.spark)
     hours = lambda c: F.make_dt_interval(hours=c)
-    leads = t.leads.filter("email IS NOT NULL").select("lead_id", "email", "phone", "name", "lead_score", F.col("captured_at").cast("timestamp").alias("created_at"))
+    leads = stored(t.leads.filter("email IS NOT NULL").select("lead_id", "email", "phone", "name", "lead_score", F.col("captured_at").cast("timestamp").alias("created_at")), "daily-leads")
     late = (F.col("id") % 5 - 2).cast("int") * 7
-    captures = t.captures.filter("email IS NOT NULL AND id % 3 <> 0").select(
-        "id", "email", "first_name", "fbp", "event_id", (F.col("created_at").cast("timestamp") + hours(late)).alias("captured_at"))
+    captures = stored(t.captures.filter("email IS NOT NULL AND id % 3 <> 0").select(
+        "id", "email", "first_name", "fbp", "event_id", (F.col("created_at").cast("timestamp") + hours(late)).alias("captured_at")), "daily-captures")
     # rows arrive up to 36 hours after their time
     arrives = F.col("created_at") + hours((F.col("lead_id") % 37).cast("int")), F.col("captured_at") + hours((F.col("id") % 29).cast("int"))
     edges = _edges(leads, arrives[0])
