@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Seconds in a bucket, buckets in a span.
 BUCKET, SPAN = 86_400, 32
 
@@ -25,7 +27,7 @@ def next_value(points: DataFrame, seen: DataFrame, bucket: int = BUCKET, span: i
     known = "k IS NOT NULL AND ts IS NOT NULL"
     a = points.filter(known).groupBy("k", "ts").agg(F.min("value").alias("value")).select("k", "ts", number.alias("b"), "value", F.lit(True).alias("is_point"))
     q = seen.filter(known).select("k", "ts").distinct().select("k", "ts", number.alias("b"), F.lit(False).alias("is_point"))
-    both = a.unionByName(q, allowMissingColumns=True)
+    both = stored(a.unionByName(q, allowMissingColumns=True), "asof-rows")  # read for buckets, their firsts and spans
     # within a bucket: at equal times the point comes first
     inside = Window.partitionBy("k", "b").orderBy(F.desc("ts"), F.desc("is_point")).rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("near", F.last("value", ignorenulls=True).over(inside)).filter("NOT is_point").select("k", "ts", "b", "near")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.contact import phone_variants
+from ..session import stored
 from .asof import next_value
 from .joins import first_per_key, flag_members, left_lookup, nulls_last
 
@@ -157,7 +158,8 @@ def attribute_sales(leads: DataFrame, sales: DataFrame, temporal: bool = False)
     if temporal:
         at = F.col("captured_at").cast("string")
         moment = lambda k: F.when(k.isNotNull() & at.isNotNull(), F.concat_ws("\u0001", k, at))
-        table = _first_sales_after(leads, sales).select(moment(F.col("k")).alias("k"), "sale")
+        # one table answers for e-mails and phones
+        table = stored(_first_sales_after(leads, sales).select(moment(F.col("k")).alias("k"), "sale"), "first-sales")
         df = leads
         for key, name in found.items():
             named = table.select("k", F.col("sale").alias(name))
