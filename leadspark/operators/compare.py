@@ -13,6 +13,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import economics as eco
 from ..functions import utm as u
 from ..functions.text import collapse_spaces, ratio_den1, safe_ratio
+from ..session import stored
 from .joins import left_lookup
 
 EVENTS, OPTIMISED, CONTROL, OTHER = "Eventos ML", "Otimização ML", "Controle", "Outro"
@@ -301,12 +302,14 @@ def compare_adsets(adsets: DataFrame, matched: DataFrame, groups: DataFrame | No
     """Adsets against their leads: ``detailed`` per adset and ``aggregated`` per arm.
 
     Conversions of lead adset names missing from the report are given to the adset found
-    by :func:`_repaired`; revenue stays with exact matches.
+    by :func:`_repaired`; revenue stays with exact matches. The report rows and the leads' totals
+    are written once, as the table, the missing names and their repair all read them.
     """
-    rows = adsets.withColumn("_id15", _c15("campaign_id")).withColumn("adset_name", collapse_spaces(F.col("adset_name")))
+    rows = stored(adsets.withColumn("_id15", _c15("campaign_id")).withColumn("adset_name", collapse_spaces(F.col("adset_name"))), "adset-rows")
     keyed = matched.withColumn("_id15", u.id_suffix(F.col("campaign"), "18,", 15)).withColumn(
         "adset_name", collapse_spaces(F.col("medium")))
     stats = lead_stats(keyed.filter("_id15 IS NOT NULL AND adset_name IS NOT NULL"), F.col("_id15"), F.col("adset_name"), settings=settings)
+    stats = stored(stats, "adset-leads")
     per = _fold_adsets(rows, ["campaign_id", "adset_id"]).withColumn("_key", _pair("_id15", "adset_name"))
     table = stats.select(_pair("_id15", "adset_name").alias("_sk"), *_STATS)
     full = left_lookup(per, table, "_key", "_sk")

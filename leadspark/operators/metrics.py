@@ -9,6 +9,7 @@ from ..config import DECILES, DEFAULTS, Settings
 from ..functions import economics as eco
 from ..functions import utm as u
 from ..functions.text import percent_difference, safe_ratio
+from ..session import stored
 from .costs import enrich_costs
 from .joins import left_lookup
 from .utm import consolidate_campaigns
@@ -21,7 +22,8 @@ def _r2(c: Column) -> Column:
 def campaign_base_stats(matched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Responses, distinct converters and revenue per (class, consolidated campaign).
 
-    When no sale carries a value, revenue is converters times the product value.
+    When no sale carries a value, revenue is converters times the product value; the
+    campaigns' totals show that, which are written once, so the leads are not summed again.
     """
     named = consolidate_campaigns(matched)
     sold = F.col("converted")
@@ -32,7 +34,8 @@ def campaign_base_stats(matched: DataFrame, settings: Settings = DEFAULTS) -> Da
         F.count_distinct(F.when(sold, F.col("email"))).alias("conversions"),
         F.coalesce(F.sum(F.when(sold, adjusted)), F.lit(0.0)).alias("total_revenue_adjusted"),
     )
-    paid = matched.agg((F.coalesce(F.sum("sale_value"), F.lit(0.0)) != 0).alias("_paid"))
+    stats = stored(stats, "campaign-stats")
+    paid = stats.agg((F.coalesce(F.sum("total_revenue"), F.lit(0.0)) != 0).alias("_paid"))
     flat = F.col("conversions") * F.lit(settings.product_value)
     out = stats.crossJoin(F.broadcast(paid))  # one row
     for c in ("total_revenue", "total_revenue_adjusted"):
@@ -61,7 +64,8 @@ def campaign_metrics(matched: DataFrame, costs: DataFrame, settings: Settings =
 
     Campaigns with neither spend, leads nor conversions are left out.
     """
-    stats = impute_leads(enrich_costs(campaign_base_stats(matched, settings), costs), settings)
+    # one row for each campaign, written before it is sorted and compared
+    stats = stored(impute_leads(enrich_costs(campaign_base_stats(matched, settings), stored(costs, "campaign-costs")), settings), "campaign-table")
     spend, leads, revenue = F.col("spend"), F.col("leads"), F.col("total_revenue")
     active = stats.filter((spend > 0) | (leads > 0) | (F.col("conversions") > 0))
     out = (

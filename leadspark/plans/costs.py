@@ -50,9 +50,8 @@ def cost_periods(t):
 
 
 def _campaign_costs(t):
-    return ops.report_hierarchy(
-        t.adset_rows.groupBy("campaign_name").agg(F.lit(75.0).alias("budget")), t.adset_rows, t.ad_rows
-    )
+    rows = stored(t.adset_rows, "adset-rows")
+    return ops.report_hierarchy(rows.groupBy("campaign_name").agg(F.lit(75.0).alias("budget")), rows, t.ad_rows)
 
 
 _COSTS = """costs AS (SELECT campaign_id, min(campaign_name) AS campaign_name, min(account_name) AS account_id, sum(spend) AS spend,

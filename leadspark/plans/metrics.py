@@ -9,6 +9,7 @@ from ..operators import compare as cmp
 from ..operators import controls as ctl
 from ..operators import metrics as ops
 from ..operators import utm as names
+from ..session import stored
 from .bindings import sql
 from .costs import _COSTS, _campaign_costs
 from .registry import query
@@ -230,7 +231,8 @@ def ad_comparison(t):
 )
 def ad_comparison_matched(t):
     sets = cmp.names_in_both_arms(t.adset_rows, "adset_name")
-    ads = cmp.ads_in_matched_adsets(t.ad_rows, sets, both_arms=True)
+    # the codes of both arms and the ads themselves are taken from one written table
+    ads = cmp.ads_in_matched_adsets(stored(t.ad_rows, "ad-rows"), sets, both_arms=True)
     return _ad_table(cmp.compare_ads(ads, t.leads_arms)["aggregated"])
 
 
