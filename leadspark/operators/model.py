@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, remove
+from ..session import checkpoint_dir, remove, stored
 from . import deciles as dec
 from .columns import clean_production_columns, drop_campaign_columns, drop_technical, rename_long, unify_categories
 from .encode import Encoder, align_features, feature_categories
@@ -33,6 +33,12 @@ def with_class_weight(df: DataFrame, target: str = "target") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn("_weight", weight).drop("_n", "_pos")  # one row
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores. Encoded features are small as files, and a scan would have
+    few tasks for the many trees that each row is sent through."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_forest(train: DataFrame, features: list[str], target: str = "target", params: dict | None = None) -> PipelineModel:
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     forest = RandomForestClassifier(
@@ -96,7 +102,7 @@ def tune(
     folder = f"{checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
     columns = [*features, target]
     for part, df in (("train", train), ("test", test)):
-        df.select(*columns).write.parquet(f"{folder}/{part}")
+        spread(df.select(*columns)).write.parquet(f"{folder}/{part}")
     stored = {part: spark.read.parquet(f"{folder}/{part}") for part in ("train", "test")}
 
     def score(job: tuple[int, dict]) -> float:
@@ -175,10 +181,13 @@ def production_features(
 
 
 def train_scorer(train: DataFrame, test: DataFrame, encoder: Encoder, target: str = "target", params: dict | None = None) -> tuple[LeadScorer, DataFrame]:
-    """Fit on ``train``; deciles and thresholds come from ``test``, whose scores are returned."""
+    """Fit on ``train``; deciles and thresholds come from ``test``, whose scores are returned.
+
+    Both parts are written once, spread over the cores, and so are the scores: the forest sees each row once.
+    """
     features = encoder.contract
-    model = fit_forest(align_features(train, features, (target,)), features, target, params)
-    scored = dec.with_qcut(predict(model, test), "lead_score")
+    model = fit_forest(stored(spread(align_features(train, features, (target,))), "forest-train"), features, target, params)
+    scored = dec.with_qcut(stored(predict(model, spread(test)), "forest-scores"), "lead_score")
     bands = dec.bands(dec.thresholds(scored))
     return LeadScorer(model, encoder, bands), scored
 

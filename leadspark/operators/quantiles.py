@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Accuracy of a sketch, and the values between two ends that are looked at one by one.
 ACCURACY = 10_000
 
@@ -99,8 +101,11 @@ def _select(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[int, object
 
 
 def order_statistics(df: DataFrame, column: str, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, object]]:
-    """``(n, {rank: value})`` for 0-based ranks among the non-null values of ``column``."""
-    values = _numbers(df, column)
+    """``(n, {rank: value})`` for 0-based ranks among the non-null values of ``column``.
+
+    The column is written once: the passes read it alone and never again what it comes from.
+    """
+    values = stored(_numbers(df, column), "order-values")
     n = values.count()
     return n, (_select(values, n, list(ranks_of(n))) if n else {})
 
@@ -132,6 +137,7 @@ def running_totals(df: DataFrame, column: str, measures: dict[str, str]) -> Data
         .groupBy(column)
         .agg(*[F.sum(F.expr(expr)).alias(name) for name, expr in measures.items()])
     )
+    totals = stored(totals, "running-totals")  # read for the ranges, their totals and the values
     ranges = max(1, math.isqrt(totals.agg(F.approx_count_distinct(column)).first()[0]))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = totals.approxQuantile(column, probs, 1 / (4 * ranges)) if probs else []

@@ -15,7 +15,7 @@ from ..operators import link
 from ..operators import model as ml
 from ..operators import splits as sp
 from ..operators import utm as names
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stored
 from ..sources import leads as src
 from ..streaming import jobs
 from .bindings import sql
@@ -52,8 +52,10 @@ def _model_frames(t, target=None):
     base = link.target_by_email_or_phone(names.with_class(t.leads), t.sales)
     if target is not None:
         base = base.withColumn("target", target)
-    split = sp.split_by_leads(feat.derive_features(base, "captured_at", "name", "email_raw", "phone_raw", keep_raw=True))
     inputs = ("dia_semana", "nome_comprimento", *feat.FLAGS, "telefone_comprimento", "term", "medium", "ml_type")
+    # the cut, the encoder and both parts read the linked leads: they are written once
+    derived = feat.derive_features(base, "captured_at", "name", "email_raw", "phone_raw", keep_raw=True)
+    split = sp.split_by_leads(stored(derived.select("lead_id", "captured_at", "target", *inputs), "model-leads"))
     shaped = names.unify_term(split)
     encoder = enc.fit_encoder(shaped.filter("split = 'train'").select(*inputs))
     encoded = encoder.transform(shaped, ("lead_id", "target", "split"))
