@@ -242,6 +242,7 @@ def test_long_reports_are_several_files(spark, monkeypatch):
     from leadspark.plans import intake
     from leadspark.plans.bindings import Tables
     from leadspark.session import children
+    from leadspark.sources import report_source
 
     monkeypatch.setattr(intake, "REPORT_ROWS", 50)
     folder = intake._folder(spark, "reports")
