@@ -77,12 +77,15 @@ def one_edit(a: Column, b: Column) -> Column:
 def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """``a, n_a, b, n_b`` with ``a < b`` for all words ``(word, n)`` that one edit apart, each pair once.
 
-    Only pairs that pass the edit test leave the join, whose keys adaptive execution can split.
+    Only pairs that pass the edit test leave the join, whose keys adaptive execution can split. Its key is the
+    64-bit hash of a signature, which is shorter and sorts faster: equal signatures have equal hashes, so no
+    pair is lost, and pairs of different ones that should share a hash are verified like all others.
     """
     dealt = letter_parts(words, parts)
     # few rows become many: more tasks than the small table of words has files
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = words.repartition(tasks).select("word", "n", F.explode(signatures(F.col("word"), dealt)).alias("signature"))
+    keyed = keyed.select("word", "n", F.xxhash64("signature").alias("signature"))
     left, right = keyed.toDF("a", "n_a", "signature"), keyed.toDF("b", "n_b", "signature")
     met = left.join(right, "signature").filter((F.col("a") < F.col("b")) & one_edit(F.col("a"), F.col("b")))
     return met.select("a", "n_a", "b", "n_b").distinct()
