@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..operators.components import components
 from .common import saved, text_or_empty
 from .exact_dedup import one_of_each
+from .similar_sets import class_links
 
 SHINGLE = 4
 SEED = 42
@@ -193,16 +194,17 @@ def fingerprint_components(distinct: DataFrame, limit: int = LINK_BITS) -> DataF
     return joined.select(*fp, F.coalesce("component", "class").alias("root"))
 
 
-def near_groups(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float | None = None, whole: bool = False) -> DataFrame:
     """``doc_id, k_hash, fp, component_id, root`` for each row; ``component_id`` is the smallest doc_id reachable.
 
     ``root`` names the component: a ``component_id`` can be null, or an id that stands in two components.
 
     Fingerprints link at ``LINK_BITS`` or fewer differing bits, or with a ``similarity`` at
-    ``link_bits(similarity)`` of 128 (and ``fp_b`` is their second half). A null text is empty; texts
-    without words have fingerprint zero and link like any other. Equal fingerprints are one
-    node, so copies cost nothing. Null doc ids count as no id (a component of nulls has null).
-    Repeated rows all stay; an empty table gives no rows; other columns are not read.
+    ``link_bits(similarity)`` of 128 (and ``fp_b`` is their second half). With ``whole`` all texts whose
+    sets of shingles have that similarity link too, however far apart their fingerprints are.
+    A null text is empty; texts without words have fingerprint zero and link like any other. Equal
+    fingerprints are one node, so copies cost nothing. Null doc ids count as no id (a component of
+    nulls has null). Repeated rows all stay; an empty table gives no rows; other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("k_hash"), text_or_empty().alias("text"))
     if similarity is None:
@@ -214,6 +216,11 @@ def near_groups(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     rows = saved(rows, "fingerprints")
     least = saved(rows.groupBy(*fp).agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     rooted = saved(least.join(fingerprint_components(least, limit), fp), "near-rooted")
+    if whole:
+        classes = saved(rows.join(rooted, fp).select(F.col("k_hash").alias("node"), F.col("root").alias("class")).distinct(), "near-texts")
+        links = class_links(own.select(F.col("k_hash").alias("node"), "text"), classes, similarity)
+        joined = saved(components(links), "near-joined").select(F.col("node").alias("root"), "component")
+        rooted = saved(rooted.join(joined, "root", "left").select(*fp, "least", F.coalesce("component", "root").alias("root")), "near-rooted")
     # written first, so that the join back deals both sides anew and can split a hot component
     smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-smallest")
     mapping = saved(rooted.join(smallest, "root").select(*fp, "component_id", "root"), "near-mapping")
@@ -227,9 +234,10 @@ def hex_fingerprint(fp: Column) -> Column:
 def near_dedup(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component of ``near_groups``: the one with the smallest doc_id.
 
+    With a ``similarity`` all pairs of texts that have it are linked (``whole``), not only those the keys find.
     Of rows that repeat that id the text with the smallest hash stays, once. A component of null
     ids keeps one row. Null and empty texts are one group; an empty table stays empty.
     """
-    groups = near_groups(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = near_groups(docs, similarity, whole=similarity is not None).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keys = groups.groupBy("root").agg(F.min("component_id").alias("k_id"), F.min("k_hash").alias("k_hash"))
     return one_of_each(docs, keys.select("k_id", "k_hash"))

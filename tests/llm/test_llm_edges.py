@@ -194,3 +194,27 @@ def test_pipeline_against_plain_version(spark):
     assert Counter(r.doc_id for r in after if r.start == 0) == Counter(r.doc_id for r in before)
     assert sum(r.length for r in after) == sum(r.doc_tokens for r in after if r.start == 0)
     assert Counter(map(tuple, after)) == Counter(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_near_dedup_links_all_similar_texts(spark):
+    """Every pair of similarity 0.8 or more is linked, also where no keys of the fingerprints meet."""
+    rng = random.Random(11)
+    texts, passage = {}, [f"p{i}" for i in range(60)]
+    for group in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 200, 300)))] + passage * (group % 3)
+        for copy in range(3):
+            w = list(base)
+            for place in rng.sample(range(len(w)), rng.choice((0, 1, 2, 4, 6, 9))):
+                w[place] = rng.choice(("edited", w[place].upper(), f"x{place}"))
+            texts[len(texts)] = " ".join(w[: len(w) - rng.choice((0, 0, 20))])
+    texts |= {1000: "", 1001: " \n", 1002: "one two", 1003: "One  two", 1004: "one two three", 1005: " ".join(passage)}
+    split = {i: ref.words(t.translate(ref.LOWER)) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, w in split.items()}
+    ids = sorted(texts)
+    alike = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    keys = lambda fp: set(simhash.golay_keys(np.array([fp], np.uint64))[1].tolist())
+    found = ref.similar_components(texts, simhash.link_bits(0.8), keys)
+    want = ref.components(ids, alike + list(found.items()))
+    assert len(set(want.values())) < len(set(found.values()))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs, 0.8).collect()) == sorted(set(want.values()))
