@@ -166,7 +166,8 @@ def fingerprint_components(distinct: DataFrame, limit: int = LINK_BITS) -> DataF
     Groups of near copies share many keys, so pairs are not listed. First every fingerprint is
     compared with the smallest and the largest of each of its keys; the components of these
     links are one class each. Then only fingerprints of one key and different classes are
-    compared, which misses no link. Both joins verify the distance and can split a hot key.
+    compared, which misses no link. Both joins verify the distance and can split a hot key. They are merge
+    joins: Spark takes the keys for no larger than the fingerprints, of which each has about a hundred.
     """
     fp = [c for c in ("fp", "fp_b") if c in distinct.columns]
     low, high, other = ([p + c for c in fp] for p in ("low_", "high_", "other_"))
@@ -177,7 +178,7 @@ def fingerprint_components(distinct: DataFrame, limit: int = LINK_BITS) -> DataF
         *[f.alias(n) for c in fp[1:] for f, n in ((F.min_by(c, "fp"), f"low_{c}"), (F.max_by(c, "fp"), f"high_{c}"))],
     ).filter("low_fp < high_fp")
     meets = lambda end: (F.col("fp") != F.col(end[0])) & _near(fp, end, limit)
-    stars = keyed.join(ends, "key").filter(meets(low) | meets(high))
+    stars = keyed.hint("merge").join(ends, "key").filter(meets(low) | meets(high))
     link = lambda end: F.when(meets(end), F.struct(_node(fp).alias("u"), _node(end).alias("v")))
     links = stars.select(F.explode(F.array_compact(F.array(link(low), link(high)))).alias("e")).select("e.*").distinct()
     links = saved(links, "near-links")
@@ -186,7 +187,7 @@ def fingerprint_components(distinct: DataFrame, limit: int = LINK_BITS) -> DataF
     classes = nodes.join(first, "node", "left").select(*fp, F.coalesce("component", "node").alias("class"))
     classes = saved(classes, "near-fingerprints")
     rows = with_keys(classes.repartition(spread))
-    left, right = rows.toDF("key", *fp, "class"), rows.toDF("key", *other, "class2")
+    left, right = rows.toDF("key", *fp, "class").hint("merge"), rows.toDF("key", *other, "class2")
     across = left.join(right, (left["key"] == right["key"]) & (F.col("class") < F.col("class2")) & _near(fp, other, limit)).select("class", "class2").distinct()
     across = saved(across, "near-across")
     second = saved(components(across.select(F.col("class").alias("u"), F.col("class2").alias("v"))), "near-roots")
