@@ -51,7 +51,8 @@ def identities(texts: DataFrame, text: Column, carry: dict[str, Column], size: i
     if names.groupBy("h1", "h2").count().filter("count > 1").take(1):
         return identities(texts, text, carry, size, seed + 1)
     at = rows.select("row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("at", "b")).select("row", "n", "at", "b.*")
-    current = at.join(names, ["h1", "h2"]).select("row", "n", "at", "name")
+    # a merge join: Spark takes the blocks of all texts for no larger than the texts' rows
+    current = at.hint("merge").join(names, ["h1", "h2"]).select("row", "n", "at", "name")
     done, level = [], 0
     while True:
         current = saved(current, "names")

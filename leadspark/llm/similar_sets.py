@@ -103,7 +103,7 @@ def _needed(similarity: float) -> Column:
 def _across(met: DataFrame) -> DataFrame:
     """The rows of keys in which several classes meet."""
     keys = saved(met.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("h"), "similar-keys")
-    return saved(met.join(keys, "h"), "similar-met")
+    return saved(met.join(keys.hint("merge"), "h"), "similar-met")
 
 
 def class_links(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -113,7 +113,8 @@ def class_links(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
     is first compared with the key's smallest and largest class, and what these links join is
     one class in the second pass. There all texts of one key and different classes meet, and a pair
     leaves if even with all elements behind its first ones in common it could not be similar.
-    Both passes compare whole sets. The joins are of written tables and can split a hot key.
+    Both passes compare whole sets. The joins are of written tables and can split a hot key. Those with keys
+    or sets are merge joins: in memory these are many times their files, by which Spark sizes a broadcast.
     """
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
@@ -140,7 +141,7 @@ def class_links(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
     keyed = spark.read.schema("h long, node long, n int, at int").parquet(path).withColumn("short", F.hash("h"))
     # most keys have one text; those go by a short hash, whose chance meetings go below
     again = saved(keyed.groupBy("short").count().filter("count > 1").select("short"), "similar-short")
-    met = saved(keyed.join(again, "short").drop("short").distinct(), "similar-met")
+    met = saved(keyed.join(again.hint("merge"), "short").drop("short").distinct(), "similar-met")
     remove(spark, path)
     met = _across(saved(met.join(classes, "node"), "similar-met"))
 
@@ -149,7 +150,7 @@ def class_links(texts: DataFrame, classes: DataFrame, similarity: float) -> Data
         nodes = saved(pairs.select(F.explode(F.array("node", "node2")).alias("node")).distinct(), "similar-nodes")
         wanted = texts.join(nodes, "node", "left_semi").select("node", "text")
         sets = saved(wanted.mapInArrow(arrays, "node long, set array<long>").dropDuplicates(["node"]), "similar-sets")
-        both = pairs.join(sets.withColumnRenamed("set", "a"), "node").join(sets.toDF("node2", "b"), "node2")
+        both = pairs.join(sets.toDF("node", "a").hint("merge"), "node").join(sets.toDF("node2", "b").hint("merge"), "node2")
         both = both.withColumn("common", F.size(F.array_intersect("a", "b")))
         similar = both.filter(F.col("common") / (F.size("a") + F.size("b") - F.col("common")) >= similarity)
         return saved(similar.select(F.col("class").alias("u"), F.col("class2").alias("v")).distinct(), "similar-links")
