@@ -136,11 +136,12 @@ def cumulative_revenue(by_decile: DataFrame, revenue: str = "revenue") -> DataFr
     return by_decile.withColumn("cumulative_revenue", running).withColumn("cumulative_pct", share)
 
 
-def auc(df: DataFrame, score: str = "lead_score", target: str = "target") -> DataFrame:
+def auc(df: DataFrame, score: str = "lead_score", target: str = "target", rows: str | None = None) -> DataFrame:
     """Exact area under the ROC curve as one row: probability that a positive outscores a
-    negative, ties counting half."""
+    negative, ties counting half. ``rows`` names a column of how many rows each row stands for."""
+    times = F.lit(1) if rows is None else F.col(rows)
     marked = df.filter(F.col(score).isNotNull()).select(
-        score, F.col(target).cast("long").alias("p"), (1 - F.col(target)).cast("long").alias("q")
+        score, (times * F.col(target)).cast("long").alias("p"), (times * (1 - F.col(target))).cast("long").alias("q")
     )
     t = running_totals(marked, score, {"pos": "p", "neg": "q"})
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))

@@ -23,13 +23,16 @@ from .encode import Encoder, align_features, feature_categories
 from .features import derive_features
 
 FOREST = {"numTrees": 300, "maxDepth": 8, "featureSubsetStrategy": "sqrt", "seed": 42}
+#: Equal rows are drawn into the bags of a grid search in up to so many parts.
+PARTS = 1024
 
 
-def with_class_weight(df: DataFrame, target: str = "target") -> DataFrame:
-    """Balanced weights: rows / (2 * rows of the class), from a two-row aggregate."""
-    total = df.agg(F.count("*").alias("_n"), F.sum(target).alias("_pos"))
+def with_class_weight(df: DataFrame, target: str = "target", rows: str | None = None) -> DataFrame:
+    """Balanced weights: rows / (2 * rows of the class), from a two-row aggregate; times the rows that a row stands for."""
+    times = F.lit(1) if rows is None else F.col(rows)
+    total = df.agg(F.sum(times).alias("_n"), F.sum(times * F.col(target)).alias("_pos"))
     own = F.when(F.col(target) == 1, F.col("_pos")).otherwise(F.col("_n") - F.col("_pos"))
-    weight = F.col("_n") / (F.lit(2.0) * own)
+    weight = times * F.col("_n") / (F.lit(2.0) * own)
     return df.crossJoin(F.broadcast(total)).withColumn("_weight", weight).drop("_n", "_pos")  # one row
 
 
@@ -39,12 +42,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def fit_forest(train: DataFrame, features: list[str], target: str = "target", params: dict | None = None) -> PipelineModel:
+def alike(df: DataFrame, parts: int = 1) -> DataFrame:
+    """``df`` with equal rows in ``parts`` rows or, if they are fewer, each for itself; ``_rows`` is how many one stands for.
+
+    No row is left out: ``_rows`` adds up to the number of rows of each kind. The rows are spread over the
+    cores by their values and in order, so that bags drawn by place are the same in every run.
+    """
+    kinds = df.groupBy(*df.columns).agg(F.count("*").alias("_rows"))
+    pieces = F.least(F.col("_rows"), F.lit(parts))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), pieces)).alias("_piece")
+    cut = kinds.select(*df.columns, (F.col("_rows") / pieces).alias("_rows"), number)
+    key = [*df.columns, "_piece"]
+    return cut.repartition(df.sparkSession.sparkContext.defaultParallelism, *key).sortWithinPartitions(*key).drop("_piece")
+
+
+def fit_forest(
+    train: DataFrame, features: list[str], target: str = "target", params: dict | None = None, rows: str | None = None
+) -> PipelineModel:
+    """A forest on ``train``; ``rows`` names a column of how many rows each row stands for."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol=target, weightCol="_weight", **{**FOREST, **(params or {})}
     )
-    return Pipeline(stages=[assembler, forest]).fit(with_class_weight(train, target))
+    return Pipeline(stages=[assembler, forest]).fit(with_class_weight(train, target, rows))
 
 
 def predict(model: PipelineModel, df: DataFrame, to: str = "lead_score") -> DataFrame:
@@ -88,7 +108,7 @@ GRIDS = {
 
 def tune(
     train: DataFrame, test: DataFrame, features: list[str], grid: dict, target: str = "target",
-    baseline: dict | None = None, min_gain: float = 0.003, parallel: int = 4,
+    baseline: dict | None = None, min_gain: float = 0.003, parallel: int = 4, parts: int | None = PARTS,
 ) -> tuple[dict, list[tuple[dict, float]]]:
     """Grid search on a fixed (time) split by AUC. The best setting is returned only if it
     beats the baseline by ``min_gain`` relative; else the baseline is.
@@ -96,29 +116,40 @@ def tune(
     Both parts are written once and read by every fit. ``parallel`` fits run at the same time,
     each in a scheduler pool of its own, so that with ``spark.scheduler.mode`` FAIR the small last
     stages of one fit leave no executor idle. A fit depends on its setting and seed only, so
-    neither the number of fits at a time nor their order changes the winner (ties: the first).
+    neither the number of fits at a time nor their order changes the winner (ties: the first), and
+    a setting that the baseline repeats is fitted once.
+
+    A forest sees only features and target, of which many rows have the same. All rows count, but up to
+    ``parts`` of each kind are drawn into a tree's bag one by one, and more of a kind in that many equal parts:
+    its weight in a bag then varies by ``1 / sqrt(parts)``, not by ``1 / sqrt(rows)``. With ``parts=None``
+    every row is drawn by itself. Equal rows of ``test`` are scored once and count as often as they are there.
     """
     spark = train.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
     columns = [*features, target]
-    for part, df in (("train", train), ("test", test)):
-        spread(df.select(*columns)).write.parquet(f"{folder}/{part}")
+    whole = train.select(*columns)
+    each = spread(whole.withColumn("_rows", F.lit(1))) if parts is None else alike(whole, parts)
+    for part, df in (("train", each), ("test", alike(test.select(*columns)))):
+        df.write.parquet(f"{folder}/{part}")
     stored = {part: spark.read.parquet(f"{folder}/{part}") for part in ("train", "test")}
 
     def score(job: tuple[int, dict]) -> float:
         number, params = job
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"grid-{number % parallel}")
-        scored = predict(fit_forest(stored["train"], features, target, params), stored["test"])
-        return dec.auc(scored, "lead_score", target).first()["auc"] or 0.0
+        scored = predict(fit_forest(stored["train"], features, target, params, "_rows"), stored["test"])
+        return dec.auc(scored, "lead_score", target, "_rows").first()["auc"] or 0.0
 
     settings = [dict(zip(grid, combo, strict=True)) for combo in itertools.product(*grid.values())]
     settings.append(dict(baseline or {}))
+    full = [{**FOREST, **params} for params in settings]
+    different = [params for i, params in enumerate(full) if params not in full[:i]]
     try:
         with ThreadPoolExecutor(parallel) as pool:
             # a thread starts with the caller's local properties and keeps its own pool
-            scores = list(pool.map(inheritable_thread_target(spark)(score), enumerate(settings)))
+            found = list(pool.map(inheritable_thread_target(spark)(score), enumerate(different)))
     finally:
         remove(spark, folder)
+    scores = [found[different.index(params)] for params in full]
     base = scores.pop()
     tried = list(zip(settings[:-1], scores, strict=True))
     best, top = max(tried, key=lambda r: r[1])

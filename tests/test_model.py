@@ -126,6 +126,38 @@ def test_tune(spark, scorer):
     assert [len([1 for _ in range(1)]) * len(v) for v in model.GRIDS["large"].values()] == [4, 4, 3, 2]
 
 
+def test_tune_counts_equal_rows_without_sending_each_through_the_trees(spark, monkeypatch):
+    rows = [(float(i % 23), float(i % 2), int(i * 7 % 10 < 2 + i % 23 // 4)) for i in range(3000)] + [(90.0, 0.0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, target int")
+    kinds = {(a, b, y): rows.count((a, b, y)) for a, b, y in set(rows)}
+    fits, fit = [], model.fit_forest
+
+    def seen(train, features, target, params, *more):
+        fits.append((params["maxDepth"], train.count(), train.columns, train.groupBy("a", "b", "target").agg(F.sum("_rows")).collect() if "_rows" in train.columns else []))
+        return fit(train, features, target, params, *more)
+
+    monkeypatch.setattr(model, "fit_forest", seen)
+    grid, base = {"numTrees": (5,), "maxDepth": (4, 6)}, {"numTrees": 5, "maxDepth": 4}
+    _, tried = model.tune(df, df, ["a", "b"], grid, baseline=base, parts=16)
+    assert sorted(f[0] for f in fits) == [4, 6]  # the baseline is one of the grid's settings
+    for _, count, _, sums in fits:
+        assert count == sum(min(n, 16) for n in kinds.values())
+        assert {tuple(r)[:3]: round(r[3], 6) for r in sums} == kinds
+    _, each = model.tune(df, df, ["a", "b"], grid, baseline=base, parts=None)
+    assert fits[-1][1] == len(rows) and all(abs(x - y) < 0.03 for (_, x), (_, y) in zip(tried, each, strict=True))
+
+
+def test_weights_and_auc_of_counted_rows(spark):
+    rows = [(0.1 * (i % 7), int(i * 5 % 11 < 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "lead_score double, target int")
+    for parts in (1, 3):
+        counted = model.alike(df, parts)
+        weigh = lambda d, *r: {x[0]: round(x[1], 9) for x in model.with_class_weight(d, "target", *r).groupBy("target").agg(F.sum("_weight")).collect()}
+        assert weigh(counted, "_rows") == weigh(df) and round(counted.agg(F.sum("_rows")).first()[0], 6) == 500
+    assert dec.auc(model.alike(df), rows="_rows").first() == dec.auc(df).first()
+    assert model.alike(df.limit(0), 3).count() == 0
+
+
 def test_conversion_events(spark):
     leads = spark.createDataFrame([("a@x.co", "11999887766", "Ana Lima", 0.9, 10, "2025-01-01 00:00:00", "Feminino"), ("b@x.co", None, " ", 0.1, None, "bad", "")],
                                   "email string, phone string, name string, lead_score double, decile int, data string, genero string")
